@@ -238,4 +238,7 @@ VIEW_SQL = {
 def with_views(sql: str, *names: str) -> str:
     """Prefix an oracle query with the CTEs of the stand-in views it uses."""
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)
+    head = sql.lstrip()
+    if head[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{head[5:]}"
     return f"WITH {ctes}\n{sql}"
