@@ -1 +1,229 @@
-"""Catalogue entries (filled in below)."""
+"""Catalogue entries: correlation, χ², Kruskal–Wallis, ANOVA, mutual information (T-family).
+
+Statistics are oracle-checked; p-values (X1) have no DuckDB equivalent, so the ``*_tests``
+entries that carry them get the rows-only check and unit tests against known values.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from quarry.operators import association as A
+from quarry.plans.catalog import R, register
+from quarry.plans.entries_profile import unpivot_sql
+from quarry.sources import views as V
+
+S, L = ("v_survey",), ("v_listings",)
+
+CORR_LISTINGS = ["price", "minimum_nights", "number_of_reviews", "reviews_per_month", "availability_365",
+                 "number_of_reviews_ltm"]
+CORR_SURVEY = ["target", "bmi", "age", "gen_hlth", "ment_hlth", "income", "high_bp"]
+
+
+def _pearson_sql(view, cols):
+    parts = []
+    for a, b in combinations(cols, 2):
+        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+        xm, ym = f"CASE WHEN {both} THEN CAST({a} AS DOUBLE) END", f"CASE WHEN {both} THEN CAST({b} AS DOUBLE) END"
+        den = f"(stddev_pop({xm}) * stddev_pop({ym}))"
+        parts.append(f"SELECT '{a}' AS var_x, '{b}' AS var_y, "
+                     + R(f"CASE WHEN {den} > 0 THEN covar_pop({xm}, {ym}) / {den} END", "r")
+                     + f", COUNT(*) FILTER (WHERE {both}) AS n FROM {view}")
+    return " UNION ALL ".join(parts)
+
+
+def _spearman_sql(view, pairs):
+    parts = []
+    for a, b in pairs:
+        parts.append(
+            f"SELECT '{a}' AS var_x, '{b}' AS var_y, "
+            + R("CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN corr(rx, ry) END", "rho")
+            + ", COUNT(*) AS n FROM (SELECT rank() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, "
+            f"rank() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM "
+            f"(SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM {view} "
+            f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL))")
+    return " UNION ALL ".join(parts)
+
+
+@register("listings_pearson_matrix", _pearson_sql("v_listings", CORR_LISTINGS), L)
+def q_listings_pearson_matrix(spark, d):
+    return A.pearson_matrix(V.listings(spark, d), CORR_LISTINGS)
+
+
+@register("survey_pearson_matrix", _pearson_sql("v_survey", CORR_SURVEY), S)
+def q_survey_pearson_matrix(spark, d):
+    return A.pearson_matrix(V.survey(spark, d), CORR_SURVEY)
+
+
+@register("listings_spearman_matrix", _spearman_sql("v_listings", list(combinations(CORR_LISTINGS, 2))), L)
+def q_listings_spearman_matrix(spark, d):
+    return A.spearman_matrix(V.listings(spark, d), CORR_LISTINGS)
+
+
+@register("survey_spearman_matrix", _spearman_sql("v_survey", list(combinations(CORR_SURVEY, 2))), S)
+def q_survey_spearman_matrix(spark, d):
+    return A.spearman_matrix(V.survey(spark, d), CORR_SURVEY)
+
+
+@register("listings_price_correlations_top5",
+          "SELECT CASE WHEN var_x = 'price' THEN var_y ELSE var_x END AS variable, r, n FROM ("
+          + _pearson_sql("v_listings", CORR_LISTINGS) + ") WHERE var_x = 'price' OR var_y = 'price' "
+          "ORDER BY abs(r) DESC NULLS LAST, variable LIMIT 5", L)
+def q_listings_price_correlations_top5(spark, d):
+    m = A.pearson_matrix(V.listings(spark, d), CORR_LISTINGS)
+    return A.with_target(m, "price", "r", k=5)
+
+
+@register("listings_price_correlation_tests", None)
+def q_listings_price_correlation_tests(spark, d):
+    """T4–T6 — Pearson and Spearman with p-values and stars (rows-only check)."""
+    return A.correlation_tests(V.listings(spark, d), "price", CORR_LISTINGS[1:])
+
+
+def _chi_sql(view, cols, target):
+    return (
+        f"WITH o AS (SELECT variable, value, class, COUNT(*) AS o FROM (SELECT * FROM (SELECT CAST({target} AS DOUBLE) AS class, "
+        + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+        + f" FROM {view}) UNPIVOT (value FOR variable IN ({', '.join(cols)}))) WHERE class IS NOT NULL "
+        "GROUP BY variable, value, class), "
+        "r AS (SELECT variable, value, SUM(o) AS r FROM o GROUP BY variable, value), "
+        "c AS (SELECT variable, class, SUM(o) AS c FROM o GROUP BY variable, class), "
+        "d AS (SELECT variable, SUM(o) AS n, COUNT(DISTINCT value) AS n_rows, COUNT(DISTINCT class) AS n_cols "
+        "FROM o GROUP BY variable), "
+        "g AS (SELECT r.variable, CAST(COALESCE(o.o, 0) AS DOUBLE) AS ob, r.r * c.c / d.n AS e, d.n, d.n_rows, d.n_cols "
+        "FROM r JOIN c ON r.variable = c.variable JOIN d ON d.variable = r.variable "
+        "LEFT JOIN o ON o.variable = r.variable AND o.value = r.value AND o.class = c.class), "
+        "s AS (SELECT variable, n, n_rows, n_cols, (n_rows - 1) * (n_cols - 1) AS dof, "
+        "CASE WHEN (n_rows - 1) * (n_cols - 1) = 1 THEN SUM(power(abs(ob - e) - least(0.5, abs(ob - e)), 2) / e) "
+        "ELSE SUM(power(ob - e, 2) / e) END AS x2 FROM g GROUP BY variable, n, n_rows, n_cols) "
+        "SELECT variable, n, n_rows, n_cols, CAST(dof AS BIGINT) AS dof, "
+        + R("CASE WHEN dof > 0 THEN x2 END", "chi2") + ", "
+        + R("CASE WHEN least(n_rows, n_cols) > 1 AND dof > 0 THEN sqrt(x2 / (n * (least(n_rows, n_cols) - 1))) END",
+            "cramers_v") + " FROM s")
+
+
+@register("survey_chi_square", _chi_sql("v_survey", V.SURVEY_NOMINAL + ["age"], "target"), S)
+def q_survey_chi_square(spark, d):
+    return A.chi_square(V.survey(spark, d), V.SURVEY_NOMINAL + ["age"], "target", with_p=False)
+
+
+@register("survey_chi_square_tests", None)
+def q_survey_chi_square_tests(spark, d):
+    """T7/T8 with p-values (rows-only check)."""
+    return A.chi_square(V.survey(spark, d), V.SURVEY_NOMINAL, "target")
+
+
+_TOP6 = "(SELECT {c} FROM v_listings WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 6)"
+
+
+@register("listings_chi_square_top6",
+          "WITH sub AS (SELECT CAST(neighbourhood AS VARCHAR) AS a, CAST(room_type AS VARCHAR) AS b FROM v_listings "
+          f"WHERE neighbourhood IN {_TOP6.format(c='neighbourhood')} AND room_type IN {_TOP6.format(c='room_type')}), "
+          "o AS (SELECT a, b, COUNT(*) AS o FROM sub GROUP BY a, b), "
+          "r AS (SELECT a, SUM(o) AS r FROM o GROUP BY a), c AS (SELECT b, SUM(o) AS c FROM o GROUP BY b), "
+          "d AS (SELECT SUM(o) AS n, COUNT(DISTINCT a) AS n_rows, COUNT(DISTINCT b) AS n_cols FROM o), "
+          "g AS (SELECT CAST(COALESCE(o.o, 0) AS DOUBLE) AS ob, r.r * c.c / d.n AS e FROM r CROSS JOIN c CROSS JOIN d "
+          "LEFT JOIN o ON o.a = r.a AND o.b = c.b) "
+          "SELECT 'room_type' AS versus, 'neighbourhood' AS variable, n, n_rows, n_cols, "
+          "CAST((n_rows - 1) * (n_cols - 1) AS BIGINT) AS dof, "
+          + R("CASE WHEN (n_rows - 1) * (n_cols - 1) > 0 AND n >= 20 THEN (SELECT SUM(power(ob - e, 2) / e) FROM g) END", "chi2")
+          + ", " + R("CASE WHEN (n_rows - 1) * (n_cols - 1) > 0 AND n >= 20 THEN sqrt((SELECT SUM(power(ob - e, 2) / e) FROM g) "
+                     "/ (n * (least(n_rows, n_cols) - 1))) END", "cramers_v") + " FROM d", L)
+def q_listings_chi_square_top6(spark, d):
+    return A.chi_square_pair(V.listings(spark, d), "neighbourhood", "room_type", 6, 20, with_p=False)
+
+
+def _kruskal_sql(view, cols, group):
+    return (
+        f"WITH l AS (SELECT g, variable, value FROM {unpivot_sql(view, cols, by=[f'{group} AS g'])} WHERE g IS NOT NULL), "
+        "rk AS (SELECT variable, g, rank() OVER (PARTITION BY variable ORDER BY value) "
+        "+ (COUNT(*) OVER (PARTITION BY variable, value) - 1) / 2.0 AS r FROM l), "
+        "t AS (SELECT variable, SUM(c * c * c - c) AS tt FROM (SELECT variable, value, CAST(COUNT(*) AS DOUBLE) AS c "
+        "FROM l GROUP BY variable, value) GROUP BY variable), "
+        "s AS (SELECT variable, g, SUM(r) AS rs, COUNT(*) AS ng FROM rk GROUP BY variable, g), "
+        "a AS (SELECT variable, SUM(rs * rs / ng) AS ss, COUNT(*) AS k, CAST(SUM(ng) AS DOUBLE) AS n FROM s GROUP BY variable) "
+        "SELECT a.variable, k, CAST(n AS BIGINT) AS n, "
+        + R("CASE WHEN k >= 2 THEN (12.0 / (n * (n + 1)) * ss - 3 * (n + 1)) / (1 - tt / (n * n * n - n)) END", "h")
+        + ", k - 1 AS dof FROM a JOIN t ON a.variable = t.variable")
+
+
+@register("survey_kruskal_by_class", _kruskal_sql("v_survey", ["bmi", "ment_hlth", "age", "income"], "target"), S)
+def q_survey_kruskal_by_class(spark, d):
+    return A.kruskal_wallis(V.survey(spark, d), ["bmi", "ment_hlth", "age", "income"], "target", with_p=False)
+
+
+@register("listings_kruskal_by_room_type", _kruskal_sql("v_listings", ["price", "availability_365"], "room_type"), L)
+def q_listings_kruskal_by_room_type(spark, d):
+    return A.kruskal_wallis(V.listings(spark, d), ["price", "availability_365"], "room_type", with_p=False)
+
+
+def _anova_sql(view, cols, group, min_group):
+    return (
+        f"WITH l AS (SELECT g, variable, value FROM {unpivot_sql(view, cols, by=[f'{group} AS g'])} WHERE g IS NOT NULL), "
+        "gs AS (SELECT variable, g, COUNT(*) AS ng, AVG(value) AS mg, var_samp(value) AS vg FROM l GROUP BY variable, g "
+        f"HAVING COUNT(*) >= {min_group}), "
+        "tot AS (SELECT variable, SUM(ng) AS n, COUNT(*) AS k, SUM(ng * mg) / SUM(ng) AS grand FROM gs GROUP BY variable), "
+        "s AS (SELECT gs.variable, tot.n, tot.k, SUM(ng * power(mg - grand, 2)) AS ssb, "
+        "SUM(COALESCE((ng - 1) * vg, 0.0)) AS ssw FROM gs JOIN tot ON gs.variable = tot.variable "
+        "GROUP BY gs.variable, tot.n, tot.k) "
+        "SELECT variable, k, CAST(n AS BIGINT) AS n, "
+        + R("CASE WHEN k >= 2 AND n - k > 0 AND ssw > 0 THEN (ssb / (k - 1)) / (ssw / (n - k)) END", "f")
+        + ", k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within FROM s")
+
+
+@register("listings_anova_by_room_type", _anova_sql("v_listings", ["price", "availability_365", "number_of_reviews"],
+                                                    "room_type", 5), L)
+def q_listings_anova_by_room_type(spark, d):
+    return A.anova_oneway(V.listings(spark, d), ["price", "availability_365", "number_of_reviews"], "room_type",
+                          min_group=5, with_p=False)
+
+
+@register("survey_anova_by_age", _anova_sql("v_survey", ["bmi", "ment_hlth"], "age", 5), S)
+def q_survey_anova_by_age(spark, d):
+    return A.anova_oneway(V.survey(spark, d), ["bmi", "ment_hlth"], "age", min_group=5, with_p=False)
+
+
+@register("listings_group_tests", None)
+def q_listings_group_tests(spark, d):
+    """T10/T11 with p-values (rows-only check): Kruskal–Wallis and ANOVA of price by room type."""
+    v = V.listings(spark, d)
+    kw = A.kruskal_wallis(v, ["price"], "room_type")
+    an = A.anova_oneway(v, ["price"], "room_type", min_group=5)
+    return kw.withColumnRenamed("p_value", "kruskal_p").join(an.select("variable", "f", "p_value"), "variable")
+
+
+@register("survey_group_means_by_class",
+          f"SELECT variable, CAST(target AS DOUBLE) AS target, COUNT(*) AS n, {R('AVG(value)', 'mean')} FROM "
+          f"{unpivot_sql('v_survey', ['bmi', 'ment_hlth', 'age'], by=['target'])} WHERE target IS NOT NULL "
+          "GROUP BY variable, target", S)
+def q_survey_group_means_by_class(spark, d):
+    s = V.survey(spark, d)
+    return A.group_means(s.withColumn("target", s["target"].cast("double")), ["bmi", "ment_hlth", "age"], "target")
+
+
+_MI_NOMINAL = V.SURVEY_NOMINAL + ["age", "income", "education"]
+
+
+def _mi_sql():
+    cols = _MI_NOMINAL + ["bmi"]
+    edges = ("(SELECT quantile_cont(CAST(bmi AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e "
+             "FROM v_survey WHERE bmi IS NOT NULL)")
+    return (
+        "WITH l AS (SELECT class, variable, value FROM (SELECT * FROM (SELECT CAST(target AS DOUBLE) AS class, "
+        + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+        + f" FROM v_survey) UNPIVOT (value FOR variable IN ({', '.join(cols)}))) WHERE class IS NOT NULL), "
+        f"b AS (SELECT class, variable, CASE WHEN variable = 'bmi' THEN CAST(len(list_filter({edges}, "
+        "lambda e: value > e)) AS DOUBLE) ELSE value END AS value FROM l), "
+        "o AS (SELECT variable, value, class, COUNT(*) AS o FROM b GROUP BY variable, value, class), "
+        "r AS (SELECT variable, value, SUM(o) AS r FROM o GROUP BY variable, value), "
+        "c AS (SELECT variable, class, SUM(o) AS c FROM o GROUP BY variable, class), "
+        "n AS (SELECT variable, SUM(o) AS n FROM o GROUP BY variable) "
+        "SELECT o.variable, n.n, " + R("SUM(o.o / n.n * ln(o.o * n.n / (r.r * c.c)))", "mi")
+        + " FROM o JOIN r ON o.variable = r.variable AND o.value = r.value "
+        "JOIN c ON o.variable = c.variable AND o.class = c.class JOIN n ON o.variable = n.variable "
+        "GROUP BY o.variable, n.n")
+
+
+@register("survey_mutual_information", _mi_sql(), S)
+def q_survey_mutual_information(spark, d):
+    return A.mutual_information(V.survey(spark, d), _MI_NOMINAL + ["bmi"], "target", continuous=["bmi"], bins=10)
