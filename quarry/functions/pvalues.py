@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _EPS = 1e-15
 _TINY = 1e-300
@@ -122,17 +123,17 @@ def _apply(fn, *series: pd.Series) -> pd.Series:
     return out.where(~out.isna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _apply(chi2_sf_scalar, x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_sf_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _apply(f_sf_scalar, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_sf_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _apply(t_two_sided_scalar, t, dof)
 

@@ -1 +1,97 @@
-"""Catalogue entries (filled in below)."""
+"""Catalogue entries: null injection and imputation (M-family)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from quarry.operators import missing as MS
+from quarry.operators import profile as P
+from quarry.plans.catalog import R, register
+from quarry.session import cut_lineage
+from quarry.sources import views as V
+
+L, DOC = ("v_listings",), ("v_docs",)
+
+INJECT_COLS = ["minimum_nights", "availability_365", "reviews_per_month"]
+RATE = 0.05
+
+
+def _h(var: str) -> str:
+    return f"CAST(('0x' || substr(md5('42|{var}|' || CAST(id AS VARCHAR)), 1, 13)) AS BIGINT)"
+
+
+_K = f"(SELECT CAST(floor(COUNT(*) * {RATE}) AS BIGINT) FROM v_listings)"
+_INJ = ("inj AS (SELECT id, " + ", ".join(
+    f"CASE WHEN row_number() OVER (ORDER BY {_h(c)}, id) <= {_K} THEN NULL ELSE {c} END AS {c}" for c in INJECT_COLS)
+    + " FROM v_listings)")
+
+
+@register("listings_injected_nulls",
+          f"WITH {_INJ} " + " UNION ALL ".join(
+              f"SELECT '{c}' AS variable, COUNT(*) AS nulls, SUM(id) AS id_sum FROM inj WHERE {c} IS NULL"
+              for c in INJECT_COLS), L)
+def q_listings_injected_nulls(spark, d):
+    """M1 — which rows were nulled (count and id checksum per variable)."""
+    inj = MS.inject_nulls(V.listings(spark, d), INJECT_COLS, "id", RATE)
+    parts = [inj.where(F.col(c).isNull()).agg(F.lit(c).alias("variable"), F.count("*").alias("nulls"),
+                                               F.sum("id").alias("id_sum")) for c in INJECT_COLS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("listings_null_rate_after_injection",
+          f"WITH {_INJ} " + " UNION ALL ".join(
+              f"SELECT '{c}' AS variable, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls, "
+              + R(f"COUNT(*) FILTER (WHERE {c} IS NULL) * 100.0 / COUNT(*)", "null_pct") + " FROM inj"
+              for c in INJECT_COLS), L)
+def q_listings_null_rate_after_injection(spark, d):
+    """M8 — null rate per variable after injection."""
+    inj = MS.inject_nulls(V.listings(spark, d), INJECT_COLS, "id", RATE)
+    return P.null_profile(inj, INJECT_COLS, only_missing=False)
+
+
+def _summary_sql(src: str, method: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{method}' AS method, '{c}' AS variable, {R(f'AVG({c})', 'mean')}, "
+        f"{R(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 'median')}, {R(f'stddev_samp({c})', 'std')}, "
+        f"COUNT(*) - COUNT({c}) AS nulls FROM {src}" for c in INJECT_COLS)
+
+
+_FILL = {"mean": "AVG({c})", "median": "quantile_cont(CAST({c} AS DOUBLE), 0.5)"}
+_IMPUTED = ", ".join(
+    f"{m} AS (SELECT " + ", ".join(
+        f"COALESCE(CAST({c} AS DOUBLE), CAST((SELECT {_FILL[m].format(c=c)} FROM inj) AS DOUBLE)) AS {c}"
+        for c in INJECT_COLS) + " FROM inj)"
+    for m in _FILL)
+
+
+@register("listings_imputation_comparison",
+          f"WITH {_INJ}, {_IMPUTED} " + " UNION ALL ".join(
+              [_summary_sql("v_listings", "original"), _summary_sql("inj", "with_nulls"),
+               _summary_sql("mean", "mean"), _summary_sql("median", "median")]), L)
+def q_listings_imputation_comparison(spark, d):
+    """M2/M3/M6/M7 — mean and median imputation of injected nulls, before/after statistics."""
+    v = V.listings(spark, d).select("id", *INJECT_COLS)
+    # four consumers of the injected table: materialise it once (reliable checkpoint in the
+    # cluster's shared checkpoint dir) instead of re-deriving view + cut-offs in every branch
+    inj = cut_lineage(MS.inject_nulls(v, INJECT_COLS, "id", RATE))
+    frames = [("original", v), ("with_nulls", inj), ("mean", MS.impute(inj, INJECT_COLS, "mean")),
+              ("median", MS.impute(inj, INJECT_COLS, "median"))]
+    return MS.compare_imputations(frames, INJECT_COLS).select("method", "variable", "mean", "median", "std", "nulls")
+
+
+_MODE = ("(SELECT {c} FROM v_docs WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)")
+
+
+@register("docs_mode_imputation",
+          " UNION ALL ".join(
+              f"SELECT '{c}' AS variable, CAST(COALESCE({c}, {_MODE.format(c=c)}) AS VARCHAR) AS value, COUNT(*) AS n "
+              f"FROM v_docs GROUP BY value" for c in ["quality", "toxic", "lang"]), DOC)
+def q_docs_mode_imputation(spark, d):
+    """M4 — most-frequent imputation (ties → smallest value); value counts afterwards."""
+    cols = ["quality", "toxic", "lang"]
+    imp = MS.impute(V.docs(spark, d), cols, "mode")
+    parts = [imp.groupBy(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
+                .agg(F.count("*").alias("n")) for c in cols]
+    return reduce(lambda a, b: a.unionByName(b), parts)
