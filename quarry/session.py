@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "quarry") -> SparkSession:
+                  app_name: str = "quarry", driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with AQE, skew-join splitting and UTC time.
 
     On a cluster ``master`` is left to spark-submit; ``shuffle_partitions`` is only a
@@ -25,6 +25,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false"))
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor, so its heap is the memory budget
+        b = b.config("spark.driver.memory", driver_memory or "16g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
