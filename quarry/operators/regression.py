@@ -106,7 +106,7 @@ def preprocessing_stages(numeric: Sequence[str], categorical: Sequence[str]) ->
         ModeImputer(inputCols=list(categorical)),
         StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
         VectorAssembler(inputCols=list(numeric), outputCol="num__vec", handleInvalid="keep"),
         StandardScaler(inputCol="num__vec", outputCol="num__scaled", withMean=True, withStd=True),
         VectorAssembler(inputCols=["num__scaled", *ohe], outputCol="features"),
