@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.ranks import quantiles_from_ranks, rank_table, to_long
+from quarry.session import materialize
+from quarry.operators.ranks import (cumulative_counts, quantiles_from_ranks, rank_table, to_long,
+                                   value_count_table)
 
 
 def _stats_join(long: DataFrame, stats: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -60,18 +62,19 @@ def histogram_with_refs(df: DataFrame, cols: Sequence[str], bins: int = 30) -> D
 def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whisker: float = 1.5,
               notch: bool = True) -> DataFrame:
     """D5/D6 — per variable (and group): n, q1, median, q3, iqr, fences, whiskers (most extreme
-    data inside the fences), outlier count, and the notch interval median ± 1.57·IQR/√n."""
-    q = quantiles_from_ranks(rank_table(df, cols, by), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    data inside the fences), outlier count, and the notch interval median ± 1.57·IQR/√n.
+    One scan: quartiles, whiskers and outlier counts all come from the value-count table."""
+    vc = materialize(value_count_table(df, cols, by))
+    q = quantiles_from_ranks(cumulative_counts(vc, by), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_lo", F.col("q1") - F.lit(whisker) * F.col("iqr"))
           .withColumn("fence_hi", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    long = to_long(df, cols, by)
-    j = _stats_join(long, q.select(*by, "variable", "fence_lo", "fence_hi"), [*by, "variable"], by)
+    j = _stats_join(vc, q.select(*by, "variable", "fence_lo", "fence_hi"), [*by, "variable"], by)
     v = F.col("value")
     inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
     w = j.groupBy(*by, "variable").agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_outliers"))
     out = q.join(w, [*by, "variable"], "inner")
     cols_out = [*by, "variable", "n", "q1", "median", "q3", "iqr", "fence_lo", "fence_hi",
                 "whisker_lo", "whisker_hi", "n_outliers"]
@@ -84,19 +87,21 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whiske
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], whisker: float = 1.5,
                  denominator: str = "non_null") -> DataFrame:
-    """O1 — per variable: q1, q3, iqr, lower/upper fence, outlier count and % of rows.
-
-    ``denominator='non_null'`` divides by the non-null count (caller passed ``dropna()`` data);
-    ``'rows'`` divides by all rows (caller passed the raw column)."""
-    q = quantiles_from_ranks(rank_table(df, cols), [0.25, 0.75], names=["q1", "q3"])
+    """O1 — per variable: q1, q3, iqr, lower/upper fence, outlier count and % of rows, from one
+    value-count scan.  ``denominator='non_null'`` divides by the non-null count (caller passed
+    ``dropna()`` data); ``'rows'`` divides by all rows (caller passed the raw column)."""
+    vc = materialize(value_count_table(df, cols, keep_nulls=True))
+    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull())), [0.25, 0.75],
+                             names=["q1", "q3"])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower", F.col("q1") - F.lit(whisker) * F.col("iqr"))
           .withColumn("upper", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    long = to_long(df, cols, keep_nulls=True)
-    j = long.join(F.broadcast(q.select("variable", "lower", "upper")), "variable", "inner")
+    j = vc.join(F.broadcast(q.select("variable", "lower", "upper")), "variable", "inner")
     v = F.col("value")
-    c = j.groupBy("variable").agg(F.count("*").alias("_rows"),
-                                  F.count_if((v < F.col("lower")) | (v > F.col("upper"))).alias("n_outliers"))
+    c = j.groupBy("variable").agg(
+        F.sum("cnt").alias("_rows"),
+        F.coalesce(F.sum(F.when((v < F.col("lower")) | (v > F.col("upper")), F.col("cnt"))), F.lit(0))
+         .cast("bigint").alias("n_outliers"))
     out = q.join(c, "variable")
     den = F.col("n") if denominator == "non_null" else F.col("_rows")
     return out.select("variable", "n", "q1", "q3", "iqr", "lower", "upper", "n_outliers",

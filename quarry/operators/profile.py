@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.moments import kurt_sample, skew_sample
 from quarry.functions.output import maybe_round
-from quarry.operators.ranks import quantiles_from_ranks, rank_table, to_long
+from quarry.session import materialize
+from quarry.operators.ranks import (cumulative_counts, quantiles_from_ranks, rank_table, to_long,
+                                   value_count_table)
 
 
 
@@ -96,14 +97,15 @@ def binary_frequency(df: DataFrame, cols: Sequence[str], digits: int | None = No
 def group_stats(df: DataFrame, keys: Sequence[str], value: str, min_count: int | None = None,
                 drop_null_keys: bool = False) -> DataFrame:
     """A17 — count, mean, exact median, sample std of ``value`` per group (nulls in ``value``
-    skipped).  ``min_count`` keeps groups with at least that many rows (post-filter, A8)."""
+    skipped), from one value-count scan.  ``min_count`` keeps groups with at least that many
+    rows (post-filter, A8)."""
     base = df.where(F.col(value).isNotNull())
     if drop_null_keys:
         base = base.dropna(subset=list(keys))
-    moments = base.groupBy(*keys).agg(F.count("*").alias("count"), F.avg(value).alias("mean"),
-                                      F.stddev_samp(value).alias("std"))
-    med = quantiles_from_ranks(rank_table(base, [value], by=keys), [0.5], by=keys, names=["median"])
-    out = moments.join(med.select(*keys, "median"), list(keys), "inner")
+    vc = materialize(value_count_table(base, [value], keys))
+    mom = moments_from_counts(vc, keys)
+    med = quantiles_from_ranks(cumulative_counts(vc, keys), [0.5], by=keys, names=["median"])
+    out = mom.join(med.select(*keys, "median"), list(keys), "inner")
     if min_count is not None:
         out = out.where(F.col("count") >= min_count)
     return out.select(*keys, "count", "mean", "median", "std")
@@ -159,24 +161,46 @@ def column_profile(df: DataFrame, key: str, cols: Sequence[str] | None = None,
                        "distinct", "sample_value")
 
 
+def moments_from_counts(vc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, variable, rows, count, mean, std, min, max, skew, kurtosis)`` from a value-count
+    table (value NULL = the null rows).  Central moments are taken around the exact mean in a
+    second pass over the counts (numerically stable), then corrected like pandas / DuckDB:
+    std with n − 1, skew G1 (n ≥ 3), excess kurtosis G2 (n ≥ 4); NULL for a constant column."""
+    part = [*by, "variable"]
+    v, c = F.col("value"), F.col("cnt")
+    first = vc.groupBy(*part).agg(
+        F.sum(c).alias("rows"), F.sum(F.when(v.isNotNull(), c)).alias("count"),
+        (F.sum(F.when(v.isNotNull(), c * v)) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    first = F.broadcast(first) if not by else first          # one row per variable without groups
+    d = v - F.col("mean")
+    second = (vc.where(v.isNotNull()).join(first.select(*part, "mean"), part)
+                .groupBy(*part).agg(F.sum(c * d * d).alias("m2"), F.sum(c * d * d * d).alias("m3"),
+                                    F.sum(c * d * d * d * d).alias("m4")))
+    j = first.join(second, part, "left")
+    n = F.col("count").cast("double")
+    m2, m3, m4 = F.col("m2"), F.col("m3"), F.col("m4")
+    g1 = F.try_divide(m3 / n, F.pow(m2 / n, 1.5))
+    g2 = F.try_divide(m4 / n, F.pow(m2 / n, 2)) - 3
+    return j.select(*part, "rows", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"), "mean",
+                    F.when(n >= 2, F.sqrt(m2 / (n - 1))).alias("std"), "min", "max",
+                    F.when((n >= 3) & (m2 > 0), g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+                    F.when((n >= 4) & (m2 > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"))
+
+
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kurtosis: bool = True) -> DataFrame:
     """A25 — per variable (and group): n, nulls, null_pct, mean, std, min, q1, median, q3, max,
-    skew (G1), kurtosis (G2).  Moments come from one ``agg`` over the wide table; quantiles are
-    exact, from the rank table (W1) — no per-group value list is ever materialised."""
-    long = to_long(df, cols, by, keep_nulls=True)
-    v = F.col("value")
-    aggs = [F.count("*").alias("_rows"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-            skew_sample(v).alias("skew")]
-    if kurtosis:
-        aggs.append(kurt_sample(v).alias("kurtosis"))
-    mom = long.groupBy(*by, "variable").agg(*aggs)
-    q = quantiles_from_ranks(rank_table(df, cols, by), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    skew (G1), kurtosis (G2).  ONE scan of the input builds the value-count table; moments and
+    exact quantiles (W1) are both derived from it — no per-group value list is materialised."""
+    vc = materialize(value_count_table(df, cols, by, keep_nulls=True))
+    mom = moments_from_counts(vc, by)
+    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), by),
+                             [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     out = mom.join(q.drop("n"), [*by, "variable"], "left")
     extra = ["kurtosis"] if kurtosis else []
     return out.select(*by, "variable", "count",
-                      (F.col("_rows") - F.col("count")).alias("nulls"),
-                      ((F.col("_rows") - F.col("count")) * F.lit(100.0) / F.col("_rows")).alias("null_pct"),
+                      (F.col("rows") - F.col("count")).alias("nulls"),
+                      ((F.col("rows") - F.col("count")) * F.lit(100.0) / F.col("rows")).alias("null_pct"),
                       "mean", "std", "min", "q1", "median", "q3", "max", "skew", *extra)
 
 

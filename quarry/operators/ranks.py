@@ -4,13 +4,13 @@ Everything here works on the *value-count table* ``(by…, variable, value, cnt)
 rows: a value repeated a billion times is one row, so hot values cannot skew a task.  Cumulative
 counts over the distinct values are computed without a single-partition window:
 
-1. distinct values of each (group, variable) are cut into ``buckets`` ranges at approximate
-   quantile cut points of the *distinct values* (``percentile_approx``, a bounded sketch);
+1. the value-count table is range-partitioned on (group, variable, value) by Spark's
+   RangePartitioner (sampled bounds, binary search per row); each partition is a bucket;
 2. per-bucket totals form a small table (groups × variables × buckets rows) whose running sum
    gives each bucket's offset;
 3. a window partitioned by (group, variable, bucket) accumulates counts inside the bucket.
 
-The cut points only balance the buckets — results are exact whatever they are.
+The sampled bounds only balance the buckets — results are exact whatever they are.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+from quarry.session import materialize
+
 
 
 def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
@@ -37,23 +38,31 @@ def value_counts_long(long: DataFrame, by: Sequence[str] = (), variable: str = "
     return long.groupBy(*by, variable, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "variable",
-                      value: str = "value", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``cum_before`` (rows with a smaller value) and ``n`` (rows in the partition).
+def value_count_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), keep_nulls: bool = False) -> DataFrame:
+    """One scan: ``(by…, variable, value, cnt)`` for several columns (value NULL counts the nulls
+    when ``keep_nulls``).  Every statistic of the describe / box / outlier family is derived
+    from this table, so the input is read once."""
+    return value_counts_long(to_long(df, cols, by, keep_nulls=keep_nulls), by)
 
-    Input: a value-count table; output adds ``cum_before``, ``n`` and ``rank`` (mid-rank,
-    1-based: ``cum_before + (cnt + 1) / 2``).
+
+def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "variable",
+                      value: str = "value", buckets: int | None = None) -> DataFrame:
+    """Add ``cum_before`` (rows with a smaller value), ``n`` (rows in the partition) and
+    ``rank`` (1-based mid-rank ``cum_before + (cnt + 1) / 2``) to a value-count table.
+
+    ``buckets`` range partitions of (group, variable, value) — Spark's RangePartitioner: sampled
+    bounds, binary search per row — become the buckets (default: the session's shuffle
+    partitions).  The bucketed table is written once (bounds are sampled, so every consumer
+    must see the same assignment).  ``buckets=1`` skips bucketing: one window partition per
+    (group, variable), for small inputs.
     """
     part = [*by, variable]
+    spark = vc.sparkSession
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = vc.groupBy(*part).agg(
-            F.percentile_approx(value, probs, 4 * buckets).alias("_cuts"))
-        # One row per (group, variable): bounded by the variable list when there is no group.
-        cuts = F.broadcast(cuts) if not by else cuts
-        vcb = (vc.join(cuts, part, "inner")
-                 .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-                 .drop("_cuts"))
+        vcb = materialize(vc.repartitionByRange(buckets, *[F.col(c) for c in part], F.col(value))
+                            .withColumn("_b", F.spark_partition_id()))
     else:
         vcb = vc.withColumn("_b", F.lit(0))
     totals = vcb.groupBy(*part, "_b").agg(F.sum("cnt").alias("_bt"))
@@ -63,18 +72,17 @@ def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "va
         (F.sum("_bt").over(wpart.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_bt")).alias("_off"),
         F.sum("_bt").over(wpart).alias("n"))
-    # Bounded by groups × variables × buckets rows; with no group it is tiny and broadcast.
+    # Bounded by groups × variables × buckets rows; with no group it is small and broadcast.
     offsets = F.broadcast(offsets) if not by else offsets
     inb = Window.partitionBy(*part, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = (vcb.join(offsets, [*part, "_b"], "inner")
-              .withColumn("cum_before", F.col("_off") + F.sum("cnt").over(inb) - F.col("cnt"))
-              .withColumn("rank", F.col("cum_before") + (F.col("cnt") + F.lit(1.0)) / F.lit(2.0))
-              .drop("_off", "_b"))
-    return out
+    return (vcb.join(offsets, [*part, "_b"], "inner")
+               .withColumn("cum_before", F.col("_off") + F.sum("cnt").over(inb) - F.col("cnt"))
+               .withColumn("rank", F.col("cum_before") + (F.col("cnt") + F.lit(1.0)) / F.lit(2.0))
+               .drop("_off", "_b"))
 
 
 def rank_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
-               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Mid-rank of every distinct value of every column: ``(by…, variable, value, cnt,
     cum_before, n, rank)``.  Nulls are excluded (ranked data is the non-null data)."""
     long = to_long(df, cols, by)
@@ -82,7 +90,7 @@ def rank_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
 
 
 def with_midrank(df: DataFrame, col: str, out: str = None, by: Sequence[str] = (),
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Attach the mid-rank of ``col`` to every row (equi-join on the value; AQE splits a
     partition that a hot value makes large).  Null values get a null rank."""
     out = out or f"{col}_rank"
@@ -121,7 +129,7 @@ def quantiles_from_ranks(rt: DataFrame, probs: Sequence[float], by: Sequence[str
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              names: Sequence[str] | None = None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              names: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact quantiles of several columns (long form ``(by…, variable, n, q…)``)."""
     return quantiles_from_ranks(rank_table(df, cols, by, buckets), probs, by, names)
 

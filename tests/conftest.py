@@ -11,9 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from quarry.session import build_session
-    s = build_session("local[4]", 8, app_name="quarry-tests", driver_memory="8g")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
+    s = build_session("local[4]", 8, app_name="quarry-tests", driver_memory="8g",
+                      checkpoint=tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
     yield s
     s.stop()
 
