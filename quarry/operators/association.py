@@ -17,6 +17,7 @@ from quarry.functions.clean import significance_stars
 from quarry.functions.moments import safe_corr
 from quarry.functions.pvalues import chi2_sf, f_sf, t_two_sided
 from quarry.operators.ranks import cumulative_counts, quantiles_from_ranks, rank_table, to_long
+from quarry.session import materialize
 
 
 # ------------------------------------------------------------------------------- correlation
@@ -52,7 +53,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[st
     ρ uses rank deviations from the exact mean rank (n + 1) / 2, which keeps it stable for very
     large n."""
     pairs = list(pairs or combinations(cols, 2))
-    pc = _pair_counts(df, pairs)
+    pc = materialize(_pair_counts(df, pairs))          # feeds x-ranks, y-ranks and the join
     vx = pc.groupBy("var_x", "var_y", F.col("x").alias("value")).agg(F.sum("cnt").alias("cnt")) \
            .withColumn("variable", F.lit("x"))
     vy = pc.groupBy("var_x", "var_y", F.col("y").alias("value")).agg(F.sum("cnt").alias("cnt")) \
@@ -119,7 +120,7 @@ def chi_square(df: DataFrame, cols: Sequence[str], target: str, yates: bool = Tr
     dof = 1 (2×2), each |O − E| is reduced by min(0.5, |O − E|) over all four cells, like the
     SciPy default.  Cramér's V uses that χ²; NULL when a side has one category (dof = 0).
     """
-    o = contingency_counts(df, cols, target)
+    o = materialize(contingency_counts(df, cols, target))   # cells feed marginals, E and the grid
     r = o.groupBy("variable", "value").agg(F.sum("o").alias("r"))
     c = o.groupBy("variable", "class").agg(F.sum("o").alias("c"))
     dims = (o.groupBy("variable").agg(F.sum("o").alias("n"), F.count_distinct("value").alias("n_rows"),
@@ -187,7 +188,7 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str, with_p: bool
     (group, value) count table, never from rows."""
     base = df.withColumn("_g", F.col(group))
     long = to_long(base, cols, by=["_g"]).where(F.col("_g").isNotNull())
-    gv = long.groupBy("variable", "_g", "value").agg(F.count("*").alias("cnt"))
+    gv = materialize(long.groupBy("variable", "_g", "value").agg(F.count("*").alias("cnt")))
     vc = gv.groupBy("variable", "value").agg(F.sum("cnt").alias("cnt"))
     rt = cumulative_counts(vc)                       # (variable, value, cnt, cum_before, n, rank)
     ties = rt.groupBy("variable").agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("_t"),
@@ -214,6 +215,7 @@ def anova_oneway(df: DataFrame, cols: Sequence[str], group: str, min_group: int
     g = (long.groupBy("variable", "_g").agg(F.count("*").alias("ng"), F.avg("value").alias("mg"),
                                             F.var_samp("value").alias("vg"))
              .where(F.col("ng") >= min_group))
+    g = materialize(g)                                   # k rows per variable, used twice
     tot = g.groupBy("variable").agg(F.sum("ng").alias("n"), F.count("*").alias("k"),
                                     (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("grand"))
     j = g.join(tot, "variable")
@@ -257,7 +259,8 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str, continuo
     long = long.where(F.col("_class").isNotNull())
     if continuous:
         long = quantile_bin_long(df, long, list(continuous), bins)
-    o = long.groupBy("variable", "value", F.col("_class").alias("class")).agg(F.count("*").alias("o"))
+    o = materialize(long.groupBy("variable", "value", F.col("_class").alias("class"))
+                        .agg(F.count("*").alias("o")))
     r = o.groupBy("variable", "value").agg(F.sum("o").alias("r"))
     c = o.groupBy("variable", "class").agg(F.sum("o").alias("c"))
     n = o.groupBy("variable").agg(F.sum("o").alias("n"))
