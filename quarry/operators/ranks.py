@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from quarry.session import materialize
 
+ROWS_PER_BUCKET = 1_000_000      # distinct values per window partition in the rank pass
+
 
 
 def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
@@ -51,15 +53,17 @@ def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "va
     ``rank`` (1-based mid-rank ``cum_before + (cnt + 1) / 2``) to a value-count table.
 
     ``buckets`` range partitions of (group, variable, value) — Spark's RangePartitioner: sampled
-    bounds, binary search per row — become the buckets (default: the session's shuffle
-    partitions).  The bucketed table is written once (bounds are sampled, so every consumer
-    must see the same assignment).  ``buckets=1`` skips bucketing: one window partition per
-    (group, variable), for small inputs.
+    bounds, binary search per row — become the buckets.  By default the count is sized from the
+    value-count table (one bucket per ``ROWS_PER_BUCKET`` distinct values), so a small table
+    takes a single window partition per (group, variable) and a huge one is split evenly.
+    The bucketed table is written once (bounds are sampled, so every consumer must see the
+    same assignment).
     """
     part = [*by, variable]
-    spark = vc.sparkSession
     if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # size the buckets from the table itself: ~1M distinct values per window partition
+        vc = materialize(vc)
+        buckets = max(1, -(-vc.count() // ROWS_PER_BUCKET))
     if buckets > 1:
         vcb = materialize(vc.repartitionByRange(buckets, *[F.col(c) for c in part], F.col(value))
                             .withColumn("_b", F.spark_partition_id()))
