@@ -47,3 +47,20 @@ def test_metrics_and_save(spark, tmp_path):
     again = PipelineModel.load(str(tmp_path / "model"))
     assert again.transform(RG._to_double(train, ["x"])).count() == 20
     assert F is not None
+
+
+def test_ridge_alpha_mapping_matches_closed_form(spark):
+    """L5 — regParam = α·sd(y)/n on unstandardised features reproduces the ridge solution
+    min ||y − Xw − b||² + α||w||² (intercept not penalised)."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    rng = np.random.default_rng(11)
+    n, alpha = 300, 10.0
+    x = rng.normal(size=(n, 3))
+    y = 5 + x @ np.array([2.0, -1.0, 0.5]) + rng.normal(scale=0.5, size=n)
+    schema = StructType([StructField("features", VectorUDT()), StructField("y", DoubleType())])
+    df = spark.createDataFrame([(Vectors.dense(r.tolist()), float(t)) for r, t in zip(x, y)], schema)
+    m = RG.make_regressor("ridge", "y", n=n, label_std=float(np.std(y, ddof=1)), alpha=alpha).fit(df)
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + alpha * np.eye(3), xc.T @ yc)
+    assert np.allclose(m.coefficients.toArray(), w, atol=1e-4)
