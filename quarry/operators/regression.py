@@ -182,20 +182,31 @@ def prepare(df: DataFrame, key: str = "id", label: str = TARGET,
 
 
 def cross_validate(data: DataFrame, models: Sequence[str] | Mapping[str, dict], k: int = 5,
-                   label: str = TARGET, fold_col: str = "fold") -> DataFrame:
-    """L11 — per (model, fold): fit on the other folds, score the held-out fold.  Returns the
-    fold metric table ``(model, fold, n, mae, rmse, r2)`` (a small driver-built table)."""
+                   label: str = TARGET, fold_col: str = "fold", numeric: Sequence[str] = NUMERIC_FEATURES,
+                   categorical: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
+    """L11 — per fold: fit the preprocessing on the other folds only (no leakage), then fit every
+    model on those features and score the held-out fold.  The fold's feature table is cached
+    for the models that share it and released after the fold.  Returns the fold metric table
+    ``(model, fold, n, mae, rmse, r2)`` (a small driver-built table)."""
     spark = data.sparkSession
     specs = {m: {} for m in models} if not isinstance(models, Mapping) else dict(models)
     rows = []
-    for name, params in specs.items():
-        family = params.get("family", name)
-        hp = {kk: v for kk, v in params.items() if kk != "family"}
-        for f in range(k):
-            tr, te = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
-            m = fit_pipeline(tr, family, label=label, **hp)
-            r = regression_metrics(predict(m, te), label).first()
-            rows.append((name, f, r["n"], r["mae"], r["rmse"], r["r2"]))
+    for f in range(k):
+        tr_raw = _to_double(data.where(F.col(fold_col) != f), numeric)
+        te_raw = _to_double(data.where(F.col(fold_col) == f), numeric)
+        prep = Pipeline(stages=preprocessing_stages(numeric, categorical)).fit(tr_raw)
+        tr = prep.transform(tr_raw).select("features", label).persist()
+        te = prep.transform(te_raw).select("features", label)
+        st = tr.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("sd")).first()
+        try:
+            for name, params in specs.items():
+                family = params.get("family", name)
+                hp = {kk: v for kk, v in params.items() if kk != "family"}
+                m = make_regressor(family, label, st["n"], st["sd"], **hp).fit(tr)
+                r = regression_metrics(m.transform(te), label).first()
+                rows.append((name, f, r["n"], r["mae"], r["rmse"], r["r2"]))
+        finally:
+            tr.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, n long, mae double, rmse double, r2 double")
 
 
