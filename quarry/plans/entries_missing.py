@@ -95,3 +95,27 @@ def q_docs_mode_imputation(spark, d):
     parts = [imp.groupBy(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
                 .agg(F.count("*").alias("n")) for c in cols]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_METHODS_SQL = ("(SELECT 'with_nulls' AS method, CAST(availability_365 AS DOUBLE) AS availability_365 FROM inj "
+                "UNION ALL SELECT 'mean' AS method, availability_365 FROM mean "
+                "UNION ALL SELECT 'median' AS method, availability_365 FROM median)")
+
+
+def _d9_sql():
+    from quarry.plans.entries_profile import _hist_sql
+    return f"WITH {_INJ}, {_IMPUTED} " + _hist_sql(_METHODS_SQL, ["availability_365"], 20, by=["method"])
+
+
+@register("listings_imputation_histograms", _d9_sql(), L)
+def q_listings_imputation_histograms(spark, d):
+    """D9 — overlaid histograms of one variable before / after each imputation method, on shared
+    edges (U1 stacking of the labelled frames, then D1 by method)."""
+    from quarry.operators.distribution import histogram
+    from quarry.operators.relational import stack_labelled
+    v = V.listings(spark, d).select("id", *INJECT_COLS)
+    inj = cut_lineage(MS.inject_nulls(v, INJECT_COLS, "id", RATE))
+    frames = [("with_nulls", inj.select(F.col("availability_365").cast("double").alias("availability_365"))),
+              ("mean", MS.impute(inj, INJECT_COLS, "mean").select("availability_365")),
+              ("median", MS.impute(inj, INJECT_COLS, "median").select("availability_365"))]
+    return histogram(stack_labelled(frames, "method"), ["availability_365"], 20, by=["method"])

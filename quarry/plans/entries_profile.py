@@ -376,3 +376,13 @@ _FOLD = "CAST(('0x' || substr(md5('42|fold|' || CAST({k} AS VARCHAR)), 1, 8)) AS
 def q_listings_fold_sizes(spark, d):
     return (SM.with_folds(V.listings(spark, d), "id").groupBy("fold")
               .agg(F.count("*").alias("n"), F.sum("id").alias("id_sum")))
+
+
+@register("listings_histogram_refs",
+          "SELECT h.*, " + R("r.mean", "mean") + ", " + R("r.median", "median") + " FROM ("
+          + _hist_sql("v_listings", ["price", "availability_365"], 30) + ") h JOIN (SELECT variable, AVG(value) AS mean, "
+          "quantile_cont(value, 0.5) AS median FROM " + unpivot_sql("v_listings", ["price", "availability_365"])
+          + " GROUP BY variable) r ON h.variable = r.variable", L)
+def q_listings_histogram_refs(spark, d):
+    """D4 — histogram rows with the variable's mean and median reference lines."""
+    return D.histogram_with_refs(V.listings(spark, d), ["price", "availability_365"], 30)

@@ -52,7 +52,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                               "(a machine-local folder does not survive executor loss)")
+        d = tempfile.mkdtemp(prefix="quarry-ckpt-")      # local mode only (tests, single machine)
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
