@@ -207,3 +207,25 @@ def q_listings_global_summary_long(spark, d):
           "FROM v_listings WHERE price IS NOT NULL GROUP BY host_profile", L)
 def q_listings_host_profile(spark, d):
     return N.listings_host_profile(V.listings(spark, d), digits=None)
+
+
+@register("listings_clean_roundtrip",
+          "SELECT COUNT(p) AS n_price, " + R("AVG(p)", "price_avg") + ", COUNT(lr) AS n_last_review, "
+          "COUNT(DISTINCT CAST(lr AS DATE)) AS distinct_review_days FROM (SELECT CASE WHEN id % 13 = 0 OR id % 17 = 0 "
+          "THEN NULL ELSE price END AS p, last_review AS lr FROM v_listings)", L)
+def q_listings_clean_roundtrip(spark, d):
+    """P6/P7/P8 — prices rendered as currency text (with junk and empty strings mixed in) and
+    review dates as text with ``'nan'`` for missing, then cleaned back: the cleaners must recover
+    every value and turn the junk into NULL."""
+    from pyspark.sql import functions as F
+    from quarry.functions import clean as C
+    v = V.listings(spark, d)
+    dirty = v.select(
+        F.when(F.col("id") % 13 == 0, F.lit("abc")).when(F.col("id") % 17 == 0, F.lit(""))
+         .otherwise(F.concat(F.lit("$"), F.format_number("price", 2))).alias("price_text"),
+        F.coalesce(F.col("last_review").cast("string"), F.lit("nan")).alias("review_text"))
+    clean = dirty.select(C.currency_to_double("price_text").alias("p"),
+                         C.parse_timestamp(C.nan_text_to_null("review_text")).alias("lr"))
+    return clean.agg(F.count("p").alias("n_price"), F.avg("p").alias("price_avg"),
+                     F.count("lr").alias("n_last_review"),
+                     F.count_distinct(F.to_date("lr")).alias("distinct_review_days"))
