@@ -103,5 +103,10 @@ def summary_by_variable(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def compare_imputations(frames: Sequence[tuple[str, DataFrame]], cols: Sequence[str]) -> DataFrame:
     """M7 — before / after table: one row per (method, variable) with mean, median, std, nulls
     (U1 row-stacking of the per-method summaries)."""
+    from quarry.operators.profile import describe
     from quarry.operators.relational import stack_labelled
-    return stack_labelled([(name, summary_by_variable(f, cols)) for name, f in frames], "method")
+    # U1 first, then ONE grouped describe: a single value-count pass and rank pass for all methods
+    stacked = stack_labelled([(name, f.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+                              for name, f in frames], "method")
+    return describe(stacked, cols, by=["method"], kurtosis=False).select(
+        "method", "variable", "mean", "median", "std", "nulls")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from quarry.operators import missing as MS
@@ -35,9 +33,11 @@ _INJ = ("inj AS (SELECT id, " + ", ".join(
 def q_listings_injected_nulls(spark, d):
     """M1 — which rows were nulled (count and id checksum per variable)."""
     inj = MS.inject_nulls(V.listings(spark, d), INJECT_COLS, "id", RATE)
-    parts = [inj.where(F.col(c).isNull()).agg(F.lit(c).alias("variable"), F.count("*").alias("nulls"),
-                                               F.sum("id").alias("id_sum")) for c in INJECT_COLS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    # one pass: per column, null count and id checksum, then stacked to rows
+    row = inj.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in INJECT_COLS],
+                  *[F.sum(F.when(F.col(c).isNull(), F.col("id"))).alias(f"s_{c}") for c in INJECT_COLS])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"n_{c}").alias("nulls"),
+                                                  F.col(f"s_{c}").alias("id_sum")) for c in INJECT_COLS])))
 
 
 @register("listings_null_rate_after_injection",
@@ -92,9 +92,8 @@ def q_docs_mode_imputation(spark, d):
     """M4 — most-frequent imputation (ties → smallest value); value counts afterwards."""
     cols = ["quality", "toxic", "lang"]
     imp = MS.impute(V.docs(spark, d), cols, "mode")
-    parts = [imp.groupBy(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value"))
-                .agg(F.count("*").alias("n")) for c in cols]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    long = imp.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
+    return long.groupBy("variable", "value").agg(F.count("*").alias("n"))
 
 
 _METHODS_SQL = ("(SELECT 'with_nulls' AS method, CAST(availability_365 AS DOUBLE) AS availability_365 FROM inj "
