@@ -133,9 +133,20 @@ def quantiles_from_ranks(rt: DataFrame, probs: Sequence[float], by: Sequence[str
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              names: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Exact quantiles of several columns (long form ``(by…, variable, n, q…)``)."""
-    return quantiles_from_ranks(rank_table(df, cols, by, buckets), probs, by, names)
+              names: Sequence[str] | None = None, buckets: int | None = None,
+              approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Quantiles of several columns, long form ``(by…, variable, n, q…)``.
+
+    Exact (linear interpolation) by default.  ``approx=True`` opts into ``percentile_approx``: one
+    aggregation with a bounded sketch per group, relative rank error ``1/accuracy``; it returns
+    an observed element, not an interpolated value."""
+    if not approx:
+        return quantiles_from_ranks(rank_table(df, cols, by, buckets), probs, by, names)
+    names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
+    long = to_long(df, cols, by)
+    g = long.groupBy(*by, "variable").agg(F.count("*").alias("n"),
+                                          F.percentile_approx("value", list(probs), accuracy).alias("_q"))
+    return g.select(*by, "variable", "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
 
 
 def quantile_scalar(df: DataFrame, col: str, prob: float) -> Column:

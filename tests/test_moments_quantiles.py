@@ -56,3 +56,12 @@ def test_result_independent_of_partitioning(spark):
     a = quantiles(df.repartition(1), ["x"], [0.37]).first()[-1]
     b = quantiles(df.repartition(13), ["x"], [0.37]).first()[-1]
     assert a == b == pytest.approx(float(np.quantile(list(range(200)) * 2, 0.37)))
+
+
+def test_approx_quantiles_and_distinct_opt_ins(spark):
+    xs = list(range(1, 1001))
+    df = _df(spark, xs)
+    q = quantiles(df, ["x"], [0.5], names=["m"], approx=True).first()
+    assert abs(q["m"] - 500.5) <= 1.0 and q["n"] == 1000
+    prof = {r["variable"]: r for r in P.column_profile(df, "k", ["x"], approx_distinct=True).collect()}
+    assert abs(prof["x"]["distinct"] - 1000) <= 150          # 3 sigma at the default 5 % rsd
