@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.output import maybe_round
 from quarry.session import materialize
-from quarry.operators.ranks import (cumulative_counts, quantiles_from_ranks, rank_table, to_long,
-                                   value_count_table)
+from quarry.operators.ranks import cumulative_counts, quantiles_from_ranks, to_long, value_count_table
 
 
 
