@@ -65,7 +65,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whiske
     data inside the fences), outlier count, and the notch interval median ± 1.57·IQR/√n.
     One scan: quartiles, whiskers and outlier counts all come from the value-count table."""
     vc = materialize(value_count_table(df, cols, by))
-    q = quantiles_from_ranks(cumulative_counts(vc, by), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    q = quantiles_from_ranks(cumulative_counts(vc, by, materialized=True), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_lo", F.col("q1") - F.lit(whisker) * F.col("iqr"))
           .withColumn("fence_hi", F.col("q3") + F.lit(whisker) * F.col("iqr")))
@@ -91,7 +91,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], whisker: float = 1.5,
     value-count scan.  ``denominator='non_null'`` divides by the non-null count (caller passed
     ``dropna()`` data); ``'rows'`` divides by all rows (caller passed the raw column)."""
     vc = materialize(value_count_table(df, cols, keep_nulls=True))
-    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull())), [0.25, 0.75],
+    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), materialized=True), [0.25, 0.75],
                              names=["q1", "q3"])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower", F.col("q1") - F.lit(whisker) * F.col("iqr"))

@@ -103,7 +103,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, min_count: int |
         base = base.dropna(subset=list(keys))
     vc = materialize(value_count_table(base, [value], keys))
     mom = moments_from_counts(vc, keys)
-    med = quantiles_from_ranks(cumulative_counts(vc, keys), [0.5], by=keys, names=["median"])
+    med = quantiles_from_ranks(cumulative_counts(vc, keys, materialized=True), [0.5], by=keys, names=["median"])
     out = mom.join(med.select(*keys, "median"), list(keys), "inner")
     if min_count is not None:
         out = out.where(F.col("count") >= min_count)
@@ -196,7 +196,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kurtosi
     exact quantiles (W1) are both derived from it — no per-group value list is materialised."""
     vc = materialize(value_count_table(df, cols, by, keep_nulls=True))
     mom = moments_from_counts(vc, by)
-    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), by),
+    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), by, materialized=True),
                              [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     out = mom.join(q.drop("n"), [*by, "variable"], "left")
     extra = ["kurtosis"] if kurtosis else []

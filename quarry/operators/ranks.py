@@ -48,7 +48,8 @@ def value_count_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()
 
 
 def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "variable",
-                      value: str = "value", buckets: int | None = None) -> DataFrame:
+                      value: str = "value", buckets: int | None = None,
+                      materialized: bool = False) -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value), ``n`` (rows in the partition) and
     ``rank`` (1-based mid-rank ``cum_before + (cnt + 1) / 2``) to a value-count table.
 
@@ -57,12 +58,12 @@ def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "va
     value-count table (one bucket per ``ROWS_PER_BUCKET`` distinct values), so a small table
     takes a single window partition per (group, variable) and a huge one is split evenly.
     The bucketed table is written once (bounds are sampled, so every consumer must see the
-    same assignment).
+    same assignment); ``materialized=True`` says the input is already a written table.
     """
     part = [*by, variable]
     if buckets is None:
         # size the buckets from the table itself: ~1M distinct values per window partition
-        vc = materialize(vc)
+        vc = vc if materialized else materialize(vc)
         buckets = max(1, -(-vc.count() // ROWS_PER_BUCKET))
     if buckets > 1:
         vcb = materialize(vc.repartitionByRange(buckets, *[F.col(c) for c in part], F.col(value))
