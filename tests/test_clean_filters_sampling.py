@@ -75,3 +75,23 @@ def test_null_profile_only_missing(spark):
     rows = P.null_profile(df).collect()
     assert [(r["variable"], r["nulls"], r["null_pct"]) for r in rows] == [("b", 1, 50.0)]
     assert F is not None
+
+
+def test_density_integrates_to_one_and_group_edges(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(("a" if i % 3 else "b"), rnd.expovariate(0.3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    h = D.histogram(df, ["x"], bins=12, density=True).collect()
+    assert abs(sum(r["density"] * (r["bin_hi"] - r["bin_lo"]) for r in h) - 1.0) < 1e-9
+    per = D.histogram(df, ["x"], bins=12, by=["g"], shared_edges=False).collect()
+    assert sum(r["n"] for r in per) == 600 and {r["g"] for r in per} == {"a", "b"}
+
+
+def test_outlier_denominators(spark):
+    vals = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 100.0, None, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    nn = D.iqr_outliers(df, ["x"], denominator="non_null").first()
+    allr = D.iqr_outliers(df, ["x"], denominator="rows").first()
+    assert nn["n_outliers"] == allr["n_outliers"] == 1
+    assert nn["pct_outliers"] == 100.0 / 8 and allr["pct_outliers"] == 100.0 / 10
