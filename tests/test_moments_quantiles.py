@@ -65,3 +65,20 @@ def test_approx_quantiles_and_distinct_opt_ins(spark):
     assert abs(q["m"] - 500.5) <= 1.0 and q["n"] == 1000
     prof = {r["variable"]: r for r in P.column_profile(df, "k", ["x"], approx_distinct=True).collect()}
     assert abs(prof["x"]["distinct"] - 1000) <= 150          # 3 sigma at the default 5 % rsd
+
+
+def test_hot_group_exact_medians_with_forced_buckets(spark):
+    """One group holds a third of the rows; grouped exact quantiles must still equal numpy's,
+    whether the rank pass uses one bucket or many range buckets."""
+    rng = np.random.default_rng(21)
+    rows = [("hot", float(v)) for v in np.round(rng.normal(50, 10, 900), 2)]
+    rows += [(f"g{i % 40}", float(v)) for i, v in enumerate(np.round(rng.exponential(5, 1800), 2))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    expect = {}
+    for g, v in rows:
+        expect.setdefault(g, []).append(v)
+    for buckets in (1, 7):
+        got = {r["g"]: r["q500"] for r in quantiles(df, ["x"], [0.5], by=["g"], buckets=buckets).collect()}
+        assert set(got) == set(expect)
+        for g, vs in expect.items():
+            assert got[g] == pytest.approx(float(np.median(vs)), abs=1e-9)
