@@ -70,3 +70,27 @@ def test_pvalue_special_functions():
 def test_mutual_information_independent_is_zero(spark):
     df = _counts_df(spark, {(0, 0): 10, (0, 1): 10, (1, 0): 10, (1, 1): 10})
     assert A.mutual_information(df, ["a"], "t").first()["mi"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_kruskal_ties_hot_group_brute_force(spark):
+    import random
+    rnd = random.Random(9)
+    rows = [("hot", float(rnd.randint(0, 6))) for _ in range(300)]
+    rows += [(g, float(rnd.randint(0, 9))) for g in ("b", "c") for _ in range(150)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    # brute force: mid-ranks by sorting, rank sums per group, tie correction
+    vals = sorted(v for _, v in rows)
+    first = {}
+    for i, v in enumerate(vals, start=1):
+        first.setdefault(v, []).append(i)
+    mid = {v: sum(p) / len(p) for v, p in first.items()}
+    n = len(rows)
+    sums, counts = {}, {}
+    for g, v in rows:
+        sums[g] = sums.get(g, 0.0) + mid[v]
+        counts[g] = counts.get(g, 0) + 1
+    h0 = 12.0 / (n * (n + 1)) * sum(sums[g] ** 2 / counts[g] for g in sums) - 3 * (n + 1)
+    ties = sum(len(p) ** 3 - len(p) for p in first.values())
+    h = h0 / (1 - ties / (n ** 3 - n))
+    got = A.kruskal_wallis(df, ["v"], "g", with_p=False).first()
+    assert got["h"] == pytest.approx(h, rel=1e-12) and got["k"] == 3 and got["n"] == n
