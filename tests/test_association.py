@@ -94,3 +94,25 @@ def test_kruskal_ties_hot_group_brute_force(spark):
     h = h0 / (1 - ties / (n ** 3 - n))
     got = A.kruskal_wallis(df, ["v"], "g", with_p=False).first()
     assert got["h"] == pytest.approx(h, rel=1e-12) and got["k"] == 3 and got["n"] == n
+
+
+def test_spearman_pairwise_complete_brute_force(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(None if rnd.random() < 0.1 else float(rnd.randint(0, 20)),
+             None if rnd.random() < 0.1 else float(rnd.randint(0, 5))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    pairs = [(a, b) for a, b in rows if a is not None and b is not None]
+
+    def midranks(vs):
+        order = sorted(vs)
+        pos = {}
+        for i, v in enumerate(order, start=1):
+            pos.setdefault(v, []).append(i)
+        return [sum(pos[v]) / len(pos[v]) for v in vs]
+    rx, ry = midranks([a for a, _ in pairs]), midranks([b for _, b in pairs])
+    mx, my = sum(rx) / len(rx), sum(ry) / len(ry)
+    cov = sum((a - mx) * (b - my) for a, b in zip(rx, ry))
+    rho = cov / (sum((a - mx) ** 2 for a in rx) * sum((b - my) ** 2 for b in ry)) ** 0.5
+    got = A.spearman_matrix(df, ["x", "y"]).first()
+    assert got["n"] == len(pairs) and got["rho"] == pytest.approx(rho, abs=1e-12)

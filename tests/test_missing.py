@@ -27,3 +27,13 @@ def test_imputation_fills_only_nulls(spark):
 def test_mode_tie_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "c string")
     assert [r.c for r in MS.impute(df, ["c"], "mode").collect()].count("a") == 3
+
+
+def test_injection_matches_brute_force_rule(spark):
+    import hashlib
+    n, rate = 700, 0.07
+    df = spark.range(n).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a"))
+    got = {r.k for r in MS.inject_nulls(df, ["a"], "k", rate=rate).where("a IS NULL").collect()}
+    h = lambda k: int(hashlib.md5(f"42|a|{k}".encode()).hexdigest()[:13], 16)
+    want = {k for _, k in sorted((h(k), k) for k in range(n))[: int(n * rate)]}
+    assert got == want
