@@ -69,3 +69,40 @@ def _mark(links: DataFrame) -> tuple:
     """Number of links and an order-free sum over them, to see whether a round changed any."""
     h = F.xxhash64("a", "b")
     return tuple(links.agg(F.count("*"), F.sum(F.shiftright(h, 24)), F.bit_xor(h)).first())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int, seed: int = 1) -> DataFrame:
+    """About ``rows`` labelled documents (doc_id, text, y) outside the held-out fold, all if fewer.
+
+    A row is taken by a hash of its id, with the chance rows / eligible, so the sample is the same
+    on every run and its size is bound by the parameter (give or take a few square roots).  An id
+    labelled both ways counts as 1; of rows repeating an id the smallest text is taken.
+    """
+    known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", mod) != held))
+             .groupBy("doc_id").agg(F.max(label).cast("double").alias("y")))
+    eligible = known.count()
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = F.broadcast(known.where(u < rows / max(eligible, 1)))        # at most about ``rows`` ids
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def text_batches(batches, columns: list[str], size: int = 1 << 22):
+    """Arrow batches -> pieces of about ``size`` characters of their first text column.
+
+    Yields (arrow slice, list of texts); keeps what a task holds at once bound by the piece and
+    the longest single text.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(columns[0])), 0).to_pylist()
+        start, held = 0, 0
+        for i, n in enumerate(lengths):
+            if held and held + n > size:
+                part = batch.slice(start, i - start)
+                yield part, part.column(columns[0]).to_pylist()
+                start, held = i, 0
+            held += n
+        if start < len(lengths):
+            part = batch.slice(start)
+            yield part, part.column(columns[0]).to_pylist()
