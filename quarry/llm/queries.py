@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, line_dedup, mixing, pii, quality, toxicity
+from quarry.llm import decontam, langid, line_dedup, mixing, pii, quality, toxicity, warc
 from quarry.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_site_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_source_mixing": op10_source_mixing,
@@ -53,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
