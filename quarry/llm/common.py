@@ -106,3 +106,17 @@ def text_batches(batches, columns: list[str], size: int = 1 << 22):
         if start < len(lengths):
             part = batch.slice(start)
             yield part, part.column(columns[0]).to_pylist()
+
+
+def runs(batches, keys: int):
+    """Lists of consecutive rows (tuples) whose first ``keys`` values are equal, across batches."""
+    held, last = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != last and held:
+                yield held
+                held = []
+            last = row[:keys]
+            held.append(row)
+    if held:
+        yield held

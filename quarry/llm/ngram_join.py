@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import connected_components, stage, text_batches
+from quarry.llm.common import connected_components, runs, stage, text_batches
 
 WORDS = 3
 #: Two sets link when SHARE[1] * |intersection| >= SHARE[0] * |union|.
@@ -209,7 +209,7 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
              .sortWithinPartitions("key", "one", "two", "tile"))
 
     def compare(batches):
-        for group in _runs(batches):
+        for group in runs(batches, 3):
             tile, ids, roots, n = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
             bits = [r[7] for r in group]
             first, second = tile == tile[0], tile == tile[-1]
@@ -225,20 +225,6 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _runs(batches):
-    """Consecutive rows with the same first three values, across batches."""
-    held, last = [], None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != last and held:
-                yield held
-                held = []
-            last = row[:3]
-            held.append(row)
-    if held:
-        yield held
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE,
                        tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per id: id, n_shingles (size of its set), component_id (smallest id reachable by links).
