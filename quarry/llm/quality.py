@@ -172,6 +172,11 @@ def score(docs: DataFrame, model: LatentNeighbours, text: str = "text", threshol
     Repeated rows score alike.  Other columns pass through; score and predicted are replaced.
     """
     docs = docs.drop("score", "predicted")
+    return docs.withColumn("score", scorer(docs, model)(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def scorer(docs: DataFrame, model: LatentNeighbours):
+    """The score as a function of a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -179,12 +184,13 @@ def score(docs: DataFrame, model: LatentNeighbours, text: str = "text", threshol
         import pandas as pd
         return pd.Series(shared.value.score([t if isinstance(t, str) else None for t in texts]))
 
-    return docs.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Pipeline form: ``docs`` without the rows predicted 0; same columns."""
-    return score(docs, fit(docs, labels, **options)).where("predicted = 1").select(*docs.columns)
+    scored = docs.withColumn("_q_score", scorer(docs, fit(docs, labels, **options))(F.col("text")))
+    return scored.where(F.col("_q_score") >= threshold).drop("_q_score")
 
 
 def query(documents: DataFrame, labels: DataFrame) -> DataFrame:
