@@ -1,9 +1,15 @@
 """X1 — survival functions of the χ², F and Student-t distributions as vectorised pandas UDFs.
 
-They are applied to *result* rows (one per variable or pair), never to data rows.  The special
-functions are the textbook ones: the regularised incomplete gamma function (series for
-x < a + 1, Lentz continued fraction otherwise) and the regularised incomplete beta function
-(continued fraction, with the symmetry relation for convergence).
+They are applied to *result* rows (one per variable or pair), never to data rows.  On a log scale
+whose origin is the mode, both the gamma and the beta integrand are ``exp(-E(d))`` with a convex
+``E`` and ``E(0) = 0``:
+
+    χ²   a = dof / 2, x = a·e^d          E(d) = a (e^d − 1 − d)
+    F    a = d2 / 2, b = d1 / 2, f = e^d  E(d) = (a + b) log(1 + q (e^d − 1)) − b d,  q = b / (a + b)
+
+so a tail is one double-exponential quadrature.  There is no iteration to cut short, and no
+difference of large logarithms: the digits hold for samples of 1e15 rows and degrees of freedom
+of 1e9.  Student's t is the F distribution of t² with one degree of freedom.
 """
 
 from __future__ import annotations
@@ -16,109 +22,78 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_EPS = 1e-15
-_TINY = 1e-300
-_ITMAX = 10000
+_T = np.arange(-4.5, 4.5, 1 / 64)
+#: Nodes and weights of the exp-sinh rule on [0, ∞).
+_NODE = np.exp(np.pi / 2 * np.sinh(_T))
+_WEIGHT = np.pi / 2 * np.cosh(_T) * _NODE / 64
 
 
-def _gamma_q(a: float, x: float) -> float:
-    """Upper regularised incomplete gamma Q(a, x)."""
-    if x < 0 or a <= 0:
-        return float("nan")
-    if x == 0:
-        return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1.0:                      # series for P(a, x)
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(_ITMAX):
-            ap += 1.0
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * _EPS:
-                break
-        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    b = x + 1.0 - a                      # continued fraction for Q(a, x)
-    c, d = 1.0 / _TINY, 1.0 / b
-    h = d
-    for i in range(1, _ITMAX):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = _TINY if abs(d) < _TINY else d
-        c = b + an / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
-
-
-def _beta_cf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = _TINY if abs(d) < _TINY else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, _ITMAX):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = _TINY if abs(d) < _TINY else d
-        c = 1.0 + aa / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return h
-
-
-def _beta_i(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _beta_cf(a, b, x) / a
-    return 1.0 - bt * _beta_cf(b, a, 1.0 - x) / b
+def _stirling_rest(a: float) -> float:
+    """log Γ(a) − [(a − ½) log a − a + ½ log 2π]."""
+    if a < 15:
+        return math.lgamma(a) - ((a - 0.5) * math.log(a) - a + 0.5 * math.log(2 * math.pi))
+    s = 1 / (a * a)
+    return (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s / 1680))) / a
+
+
+def _upper_tail(energy, slope, curvature: float, log_scale: float, start: float) -> float:
+    """∫ exp(log_scale − E(d)) dd from ``start`` to ∞; below the mode, one minus the lower tail."""
+    side = 1.0 if start >= 0 else -1.0
+    step = 1 / (abs(slope(start)) + math.sqrt(curvature))
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        rise = energy(start + side * step * _NODE) - energy(start)
+        part = float(np.sum(_WEIGHT * np.exp(-np.where(np.isnan(rise), np.inf, rise)))) * step
+    tail = part * math.exp(max(log_scale - float(energy(start)), -745.0))
+    return min(1.0, max(0.0, tail if side > 0 else 1.0 - tail))
 
 
 def chi2_sf_scalar(x: float, dof: float) -> float:
-    if x is None or dof is None or not np.isfinite(x) or dof <= 0:
+    if x is None or dof is None or math.isnan(x) or math.isnan(dof) or dof <= 0:
         return float("nan")
-    return _gamma_q(dof / 2.0, max(x, 0.0) / 2.0)
+    if x <= 0 or math.isinf(x):
+        return 1.0 if x <= 0 else 0.0
+    a = dof / 2.0
+    t = (x / 2.0 - a) / a
+    return _upper_tail(lambda d: a * (np.expm1(d) - d), lambda d: a * math.expm1(min(d, 700.0)), a,
+                       0.5 * math.log(a / (2 * math.pi)) - _stirling_rest(a), math.log1p(t) if t > -1 else -700.0)
 
 
 def f_sf_scalar(f: float, d1: float, d2: float) -> float:
-    if f is None or not np.isfinite(f) or d1 <= 0 or d2 <= 0:
+    if f is None or math.isnan(f) or not d1 > 0 or not d2 > 0:
         return float("nan")
-    if f <= 0:
-        return 1.0
-    return _beta_i(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    if f <= 0 or math.isinf(f):
+        return 1.0 if f <= 0 else 0.0
+    return _f_tail(math.log(f), d1, d2)
+
+
+def _f_tail(start: float, d1: float, d2: float) -> float:
+    a, b = d2 / 2.0, d1 / 2.0
+    n = a + b
+    q = b / n
+
+    def energy(d):
+        d = np.asarray(d, dtype=float)
+        far = np.where(d > 30, d + math.log(q) + np.log1p((1 - q) / q * np.exp(-np.maximum(d, 30.0))), 0.0)
+        return n * np.where(d > 30, far, np.log1p(q * np.expm1(np.minimum(d, 30.0)))) - b * d
+
+    def slope(d):
+        e = math.exp(min(d, 700.0))
+        return n * q * e / (1 + q * math.expm1(min(d, 700.0))) - b
+
+    scale = 0.5 * (math.log(a) + math.log(b) - math.log(2 * math.pi * n))
+    return _upper_tail(energy, slope, a * b / n, scale + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b), start)
 
 
 def t_two_sided_scalar(t: float, dof: float) -> float:
-    if t is None or not np.isfinite(t) or dof <= 0:
-        return float("nan") if (t is None or np.isnan(t)) else 0.0
-    return _beta_i(dof / 2.0, 0.5, dof / (dof + t * t))
+    if t is None or math.isnan(t) or not dof > 0:
+        return float("nan")
+    if t == 0 or math.isinf(t):
+        return 1.0 if t == 0 else 0.0
+    return _f_tail(2 * math.log(abs(t)), 1.0, dof)
 
 
 def _apply(fn, *series: pd.Series) -> pd.Series:
-    vals = [fn(*(None if pd.isna(v) else float(v) for v in row)) if not any(pd.isna(v) for v in row) else np.nan
-            for row in zip(*series)]
+    vals = [fn(*(float(v) for v in row)) if not any(pd.isna(v) for v in row) else np.nan for row in zip(*series)]
     out = pd.Series(vals, dtype="float64")
     return out.where(~out.isna(), None)
 
