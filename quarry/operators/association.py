@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.clean import significance_stars
 from quarry.functions.moments import safe_corr
 from quarry.functions.pvalues import chi2_sf, f_sf, t_two_sided
-from quarry.operators.ranks import cumulative_counts, quantiles_from_ranks, rank_table, to_long
+from quarry.operators.ranks import cumulative_counts, quantiles, to_long
 from quarry.session import materialize
 
 
@@ -79,7 +79,8 @@ def with_target(matrix: DataFrame, target: str, stat: str, k: int | None = None,
     b = matrix.where(F.col("var_y") == target).select(F.col("var_x").alias("variable"), stat, "n")
     out = a.unionByName(b)
     order = [F.abs(F.col(stat)).desc_nulls_last() if by_abs else F.col(stat).desc_nulls_last(), F.col("variable")]
-    return out.orderBy(*order).limit(k) if k else out
+    out = out.orderBy(*order)
+    return out.limit(k) if k else out
 
 
 def correlation_tests(df: DataFrame, target: str, cols: Sequence[str], min_n: int = 10) -> DataFrame:
@@ -105,53 +106,59 @@ def correlation_tests(df: DataFrame, target: str, cols: Sequence[str], min_n: in
 
 # ------------------------------------------------------------------------------- chi-square
 def contingency_counts(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """``(variable, value, class, o)`` — observed cells, rows with a null on either side dropped."""
-    long = to_long(df.withColumn("_class", F.col(target).cast("double")), cols, by=["_class"])
-    long = long.where(F.col("_class").isNotNull())
-    return long.groupBy("variable", "value", F.col("_class").alias("class")).agg(F.count("*").alias("o"))
+    """``(variable, value, class, o)`` — observed cells, rows with a null on either side dropped.
+    Values and classes are compared as text, so nominal columns work and large integers stay apart."""
+    wide = df.select(F.col(target).cast("string").alias("class"), *[F.col(c).cast("string").alias(c) for c in cols])
+    long = wide.unpivot(["class"], list(cols), "variable", "value")
+    return (long.where(F.col("class").isNotNull() & F.col("value").isNotNull())
+                .groupBy("variable", "value", "class").agg(F.count("*").alias("o")))
 
 
-def chi_square(df: DataFrame, cols: Sequence[str], target: str, yates: bool = True,
-               min_n: int | None = None, with_p: bool = True) -> DataFrame:
-    """T7/T8/T9 — χ² test of independence of each column against ``target``:
+def independence_test(o: DataFrame, yates: bool = True, min_n: int | None = None, with_p: bool = True) -> DataFrame:
+    """χ² of independence from a table of cells ``(variable, value, class, o)``:
     ``(variable, n, n_rows, n_cols, dof, chi2, cramers_v[, p_value])``.
 
-    Uncorrected χ² = Σ O²/E − N over observed cells (no dense grid needed).  With ``yates`` and
-    dof = 1 (2×2), each |O − E| is reduced by min(0.5, |O − E|) over all four cells, like the
-    SciPy default.  Cramér's V uses that χ²; NULL when a side has one category (dof = 0).
+    χ² = Σ (O − E)² / E over observed cells, plus E of the empty ones: per row of the table,
+    r · (n − the class totals it has) / n.  Products are taken in double precision, so counts of
+    any size neither overflow nor cancel.  With ``yates`` and dof = 1 (2×2), each |O − E| is
+    reduced by min(0.5, |O − E|) over all four cells.  Cramér's V uses that χ²; NULL when a side
+    has one category (dof = 0) or fewer than ``min_n`` rows remain.
     """
-    o = materialize(contingency_counts(df, cols, target))   # cells feed marginals, E and the grid
     r = o.groupBy("variable", "value").agg(F.sum("o").alias("r"))
     c = o.groupBy("variable", "class").agg(F.sum("o").alias("c"))
     dims = (o.groupBy("variable").agg(F.sum("o").alias("n"), F.count_distinct("value").alias("n_rows"),
                                       F.count_distinct("class").alias("n_cols")))
-    e = (o.join(r, ["variable", "value"]).join(c, ["variable", "class"]).join(dims, "variable")
-          .withColumn("e", F.col("r") * F.col("c") / F.col("n")))
-    plain = e.groupBy("variable").agg(F.sum(F.col("o") * F.col("o") / F.col("e")).alias("_s"))
-    out = dims.join(plain, "variable").withColumn("chi2_plain", F.col("_s") - F.col("n"))
+    n, e = F.col("n").cast("double"), F.col("r").cast("double") * F.col("c") / F.col("n")
+    cells = o.join(r, ["variable", "value"]).join(c, ["variable", "class"]).join(dims, "variable").withColumn("e", e)
+    rows = cells.groupBy("variable", "value", "r", "n").agg(F.sum(F.pow(F.col("o") - F.col("e"), 2) / F.col("e")).alias("seen"),
+                                                            F.sum("c").alias("has"))
+    plain = rows.groupBy("variable").agg(F.sum(F.col("seen") + F.col("r") * ((F.col("n") - F.col("has")) / n)).alias("chi2_plain"))
+    out = dims.join(plain, "variable")
+    chi2 = F.col("chi2_plain")
     if yates:
         # 2×2 variables only: the full grid is four cells per variable.
         two = dims.where((F.col("n_rows") == 2) & (F.col("n_cols") == 2)).select("variable", "n")
-        grid = (r.join(two, "variable").join(c, "variable")
-                 .join(o, ["variable", "value", "class"], "left")
-                 .withColumn("e", F.col("r") * F.col("c") / F.col("n"))
-                 .withColumn("ad", F.abs(F.coalesce(F.col("o"), F.lit(0)) - F.col("e"))))
+        grid = (r.join(two, "variable").join(c, "variable").join(o, ["variable", "value", "class"], "left")
+                 .withColumn("e", e).withColumn("ad", F.abs(F.coalesce(F.col("o"), F.lit(0)) - F.col("e"))))
         yt = grid.groupBy("variable").agg(
             F.sum(F.pow(F.col("ad") - F.least(F.lit(0.5), F.col("ad")), 2) / F.col("e")).alias("chi2_yates"))
         out = out.join(yt, "variable", "left")
-        chi2 = F.coalesce(F.col("chi2_yates"), F.col("chi2_plain"))
-    else:
-        chi2 = F.col("chi2_plain")
+        chi2 = F.coalesce("chi2_yates", "chi2_plain")
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     valid = dof > 0
     if min_n is not None:
         valid = valid & (F.col("n") >= min_n)
     out = out.select("variable", "n", "n_rows", "n_cols", dof.alias("dof"), F.when(valid, chi2).alias("chi2"))
     k = F.least(F.col("n_rows"), F.col("n_cols")) - 1
-    out = out.withColumn("cramers_v", F.when(k > 0, F.sqrt(F.col("chi2") / (F.col("n") * k))))
-    if with_p:
-        out = out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof")))
-    return out
+    out = out.withColumn("cramers_v", F.when(k > 0, F.sqrt(F.col("chi2") / (n * k))))
+    return out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof"))) if with_p else out
+
+
+def chi_square(df: DataFrame, cols: Sequence[str], target: str, yates: bool = True,
+               min_n: int | None = None, with_p: bool = True) -> DataFrame:
+    """T7/T8 — χ² test of independence of each column against ``target`` (``independence_test``)."""
+    o = materialize(contingency_counts(df, cols, target))   # cells feed marginals, E and the grid
+    return independence_test(o, yates, min_n, with_p)
 
 
 def chi_square_pair(df: DataFrame, a: str, b: str, k: int = 6, min_n: int = 20, with_p: bool = True) -> DataFrame:
@@ -160,32 +167,17 @@ def chi_square_pair(df: DataFrame, a: str, b: str, k: int = 6, min_n: int = 20,
     from quarry.operators.profile import top_categories
     sub = (df.join(F.broadcast(top_categories(df, a, k)), a, "left_semi")
              .join(F.broadcast(top_categories(df, b, k)), b, "left_semi"))
-    # categorical codes: rank categories so they can share the numeric long form
-    sub = sub.select(F.col(a).cast("string").alias(a), F.col(b).cast("string").alias(b))
-    o = sub.groupBy(F.lit(a).alias("variable"), F.col(a).alias("value"), F.col(b).alias("class")) \
-           .agg(F.count("*").alias("o"))
-    r = o.groupBy("variable", "value").agg(F.sum("o").alias("r"))
-    c = o.groupBy("variable", "class").agg(F.sum("o").alias("c"))
-    dims = o.groupBy("variable").agg(F.sum("o").alias("n"), F.count_distinct("value").alias("n_rows"),
-                                     F.count_distinct("class").alias("n_cols"))
-    e = (o.join(r, ["variable", "value"]).join(c, ["variable", "class"]).join(dims, "variable")
-          .withColumn("e", F.col("r") * F.col("c") / F.col("n")))
-    s = e.groupBy("variable").agg(F.sum(F.col("o") * F.col("o") / F.col("e")).alias("_s"))
-    dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
-    out = dims.join(s, "variable").select(
-        F.lit(b).alias("versus"), "variable", "n", "n_rows", "n_cols", dof.alias("dof"),
-        F.when((dof > 0) & (F.col("n") >= min_n), F.col("_s") - F.col("n")).alias("chi2"))
-    kk = F.least(F.col("n_rows"), F.col("n_cols")) - 1
-    out = out.withColumn("cramers_v", F.when(kk > 0, F.sqrt(F.col("chi2") / (F.col("n") * kk))))
-    return out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof"))) if with_p else out
+    o = materialize(contingency_counts(sub, [a], b))         # at most k × k cells
+    return independence_test(o, False, min_n, with_p).select(F.lit(b).alias("versus"), "*")
 
 
 # ------------------------------------------------------------------------------- group tests
 def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str, with_p: bool = True) -> DataFrame:
     """T10 — tie-corrected Kruskal–Wallis H of each column across the groups of ``group``:
     ``(variable, k, n, h, dof[, p_value])``; rows with a null value or group are dropped; NULL H
-    with fewer than two groups.  Ranks: W1 over all groups; per-group rank sums come from the
-    (group, value) count table, never from rows."""
+    with fewer than two groups.  Ranks: W1 over all groups; per-group sums of the deviations from
+    the mean rank, which do not cancel for any number of rows, come from the (group, value) count
+    table, never from rows."""
     base = df.withColumn("_g", F.col(group))
     long = to_long(base, cols, by=["_g"]).where(F.col("_g").isNotNull())
     gv = materialize(long.groupBy("variable", "_g", "value").agg(F.count("*").alias("cnt")))
@@ -193,14 +185,14 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], group: str, with_p: bool
     rt = cumulative_counts(vc)                       # (variable, value, cnt, cum_before, n, rank)
     ties = rt.groupBy("variable").agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("_t"),
                                       F.first("n").alias("n"))
-    rs = (gv.join(rt.select("variable", "value", "rank"), ["variable", "value"])
-            .groupBy("variable", "_g").agg(F.sum(F.col("cnt") * F.col("rank")).alias("_r"),
+    rs = (gv.join(rt.select("variable", "value", "rank", "n"), ["variable", "value"])
+            .groupBy("variable", "_g").agg(F.sum(F.col("cnt") * (F.col("rank") - (F.col("n") + 1) / F.lit(2.0))).alias("_d"),
                                            F.sum("cnt").alias("_ng")))
-    agg = rs.groupBy("variable").agg(F.sum(F.col("_r") * F.col("_r") / F.col("_ng")).alias("_s"),
+    agg = rs.groupBy("variable").agg(F.sum(F.col("_d") * (F.col("_d") / F.col("_ng"))).alias("_s"),
                                      F.count("*").alias("k"))
     j = agg.join(ties, "variable")
     n = F.col("n").cast("double")
-    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
+    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("_s")
     corr = 1 - F.col("_t") / (n * n * n - n)
     out = j.select("variable", "k", "n",
                    F.when((F.col("k") >= 2) & (corr > 0), h0 / corr).alias("h"), (F.col("k") - 1).alias("dof"))
@@ -236,18 +228,18 @@ def group_means(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------- mutual information
-def quantile_bin_long(df: DataFrame, long: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """Replace ``value`` of the listed variables in a long table by its exact-quantile bin
-    0..bins−1 (a value equal to an edge falls in the lower bin).  The edge table has one row per
-    listed column — bounded by the column list — and is broadcast on an equi-join."""
+def quantile_binned(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
+    """Replace the listed columns by their exact-quantile bin 0..bins−1 (a value equal to an edge
+    falls in the lower bin).  All edges are one scalar subquery; a row's bin is a sum of comparisons."""
     probs = [i / bins for i in range(1, bins)]
     names = [f"e{i}" for i in range(1, bins)]
-    edges = quantiles_from_ranks(rank_table(df, cols), probs, names=names) \
-        .select("variable", F.array(*names).alias("_edges"))
-    j = long.join(F.broadcast(edges), "variable", "left")
-    binned = F.size(F.filter("_edges", lambda x: F.col("value") > x)).cast("double")
-    return j.withColumn("value", F.when(F.col("_edges").isNotNull(), binned).otherwise(F.col("value"))) \
-            .drop("_edges")
+    q = quantiles(df, cols, probs, names=names)
+    edges = q.agg(F.map_from_entries(F.collect_list(F.struct("variable", F.struct(*names))))).scalar()
+    for c in cols:
+        own, x = F.element_at(edges, F.lit(c)), F.col(c).cast("double")
+        above = [(x > own.getField(e)).cast("int") for e in names]
+        df = df.withColumn(c, sum(above[1:], above[0]))
+    return df
 
 
 def mutual_information(df: DataFrame, cols: Sequence[str], target: str, continuous: Sequence[str] = (),
@@ -255,15 +247,18 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str, continuo
     """T12 (re-aimed) — plug-in mutual information in nats of each column with ``target`` from
     grouped counts: Σ p(x,y)·ln(p(x,y) / (p(x)·p(y))); ``continuous`` columns are first cut
     into ``bins`` exact-quantile bins.  Output ``(variable, n, mi)``."""
-    long = to_long(df.withColumn("_class", F.col(target).cast("double")), cols, by=["_class"])
-    long = long.where(F.col("_class").isNotNull())
     if continuous:
-        long = quantile_bin_long(df, long, list(continuous), bins)
-    o = materialize(long.groupBy("variable", "value", F.col("_class").alias("class"))
-                        .agg(F.count("*").alias("o")))
+        df = quantile_binned(df, list(continuous), bins)
+    o = materialize(contingency_counts(df, cols, target))
+    return information(o)
+
+
+def information(o: DataFrame) -> DataFrame:
+    """Plug-in mutual information ``(variable, n, mi)`` from cells ``(variable, value, class, o)``:
+    Σ o/n · (ln(o / r) + ln(n / c)), without products of counts."""
     r = o.groupBy("variable", "value").agg(F.sum("o").alias("r"))
     c = o.groupBy("variable", "class").agg(F.sum("o").alias("c"))
     n = o.groupBy("variable").agg(F.sum("o").alias("n"))
     j = o.join(r, ["variable", "value"]).join(c, ["variable", "class"]).join(n, "variable")
-    term = F.col("o") / F.col("n") * F.log(F.col("o") * F.col("n") / (F.col("r") * F.col("c")))
+    term = F.col("o") / F.col("n") * (F.log(F.col("o") / F.col("r")) + F.log(F.col("n") / F.col("c")))
     return j.groupBy("variable", "n").agg(F.sum(term).alias("mi"))

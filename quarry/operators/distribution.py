@@ -12,13 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import null_safe_join
 from quarry.session import materialize
 from quarry.operators.ranks import (cumulative_counts, quantiles_from_ranks, rank_table, to_long,
                                    value_count_table)
 
 
 def _stats_join(long: DataFrame, stats: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    return long.join(F.broadcast(stats) if not by else stats, list(keys), "inner")
+    return null_safe_join(long, stats, list(keys)) if by else long.join(F.broadcast(stats), list(keys), "inner")
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30, by: Sequence[str] = (),
@@ -65,7 +66,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whiske
     data inside the fences), outlier count, and the notch interval median ± 1.57·IQR/√n.
     One scan: quartiles, whiskers and outlier counts all come from the value-count table."""
     vc = materialize(value_count_table(df, cols, by))
-    q = quantiles_from_ranks(cumulative_counts(vc, by, materialized=True), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    q = quantiles_from_ranks(cumulative_counts(vc, by), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_lo", F.col("q1") - F.lit(whisker) * F.col("iqr"))
           .withColumn("fence_hi", F.col("q3") + F.lit(whisker) * F.col("iqr")))
@@ -75,7 +76,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whiske
     w = j.groupBy(*by, "variable").agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
         F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_outliers"))
-    out = q.join(w, [*by, "variable"], "inner")
+    out = null_safe_join(q, w, [*by, "variable"])
     cols_out = [*by, "variable", "n", "q1", "median", "q3", "iqr", "fence_lo", "fence_hi",
                 "whisker_lo", "whisker_hi", "n_outliers"]
     if notch:
@@ -91,7 +92,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], whisker: float = 1.5,
     value-count scan.  ``denominator='non_null'`` divides by the non-null count (caller passed
     ``dropna()`` data); ``'rows'`` divides by all rows (caller passed the raw column)."""
     vc = materialize(value_count_table(df, cols, keep_nulls=True))
-    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), materialized=True), [0.25, 0.75],
+    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull())), [0.25, 0.75],
                              names=["q1", "q3"])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower", F.col("q1") - F.lit(whisker) * F.col("iqr"))

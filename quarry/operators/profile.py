@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.joins import null_safe_join
 from quarry.functions.output import maybe_round
 from quarry.session import materialize
 from quarry.operators.ranks import cumulative_counts, quantiles_from_ranks, to_long, value_count_table
@@ -26,9 +27,9 @@ def total_rows(df: DataFrame, name: str = "total_rows") -> DataFrame:
 
 def share_by(df: DataFrame, keys: Sequence[str], count_name: str = "n", pct_name: str = "pct",
              digits: int | None = None) -> DataFrame:
-    """A9 — rows and percentage of all rows per group (denominator: scalar subquery)."""
+    """A9 — rows and percentage of all rows per group (denominator: the sum over the groups)."""
     g = df.groupBy(*keys).agg(F.count("*").alias(count_name))
-    total = df.select(F.count("*")).scalar()
+    total = g.select(F.sum(count_name)).scalar()
     return g.withColumn(pct_name, maybe_round(F.col(count_name) * F.lit(100.0) / total, digits))
 
 
@@ -71,26 +72,28 @@ def transpose_row(df: DataFrame, metric: str = "metric", value: str = "value") -
 
 def value_counts(df: DataFrame, col: str, normalize: bool = True, top: int | None = None,
                  by_value: bool = False, count_name: str = "n", share_name: str = "share") -> DataFrame:
-    """A15 — counts (and shares of non-null rows) per value; optional top-k by count with the
-    value as deterministic tie-break.  Nulls are dropped like pandas ``value_counts``."""
+    """A15 — counts (and shares of non-null rows) per value, largest count first with the value as
+    tie-break (or in order of value); optionally the first ``top``.  Nulls are dropped like pandas
+    ``value_counts``."""
     base = df.where(F.col(col).isNotNull())
     g = base.groupBy(col).agg(F.count("*").alias(count_name))
     if normalize:
-        g = g.withColumn(share_name, F.col(count_name) / base.select(F.count("*")).scalar().cast("double"))
+        g = g.withColumn(share_name, F.col(count_name) / g.select(F.sum(count_name)).scalar().cast("double"))
     order = [F.col(col)] if by_value else [F.col(count_name).desc(), F.col(col)]
-    if top is not None:
-        g = g.orderBy(*order).limit(top)
-    return g
+    g = g.orderBy(*order)
+    return g.limit(top) if top is not None else g
 
 
 def binary_frequency(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
-    """A16 — for every 0/1 column: total non-null, zeros, ones, % ones (one unpivot pass)."""
-    long = to_long(df, cols)
-    return (long.groupBy("variable")
-                .agg(F.count("*").alias("total"),
-                     F.count_if(F.col("value") == 0).alias("n0"),
-                     F.count_if(F.col("value") == 1).alias("n1"))
-                .withColumn("pct1", maybe_round(F.col("n1") * F.lit(100.0) / F.col("total"), digits)))
+    """A16 — for every 0/1 column: total non-null, zeros, ones, % ones (one wide aggregate)."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"t{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x == 1).alias(f"o{i}")]
+    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"t{i}").alias("total"), F.col(f"z{i}").alias("n0"), F.col(f"o{i}").alias("n1"))
+            for i, c in enumerate(cols)]
+    long = df.agg(*aggs).select(F.inline(F.array(*rows))).where(F.col("total") > 0)
+    return long.withColumn("pct1", maybe_round(F.col("n1") * F.lit(100.0) / F.col("total"), digits))
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str, min_count: int | None = None,
@@ -103,8 +106,8 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, min_count: int |
         base = base.dropna(subset=list(keys))
     vc = materialize(value_count_table(base, [value], keys))
     mom = moments_from_counts(vc, keys)
-    med = quantiles_from_ranks(cumulative_counts(vc, keys, materialized=True), [0.5], by=keys, names=["median"])
-    out = mom.join(med.select(*keys, "median"), list(keys), "inner")
+    med = quantiles_from_ranks(cumulative_counts(vc, keys), [0.5], by=keys, names=["median"])
+    out = null_safe_join(mom, med.select(*keys, "median"), list(keys))
     if min_count is not None:
         out = out.where(F.col("count") >= min_count)
     return out.select(*keys, "count", "mean", "median", "std")
@@ -135,7 +138,8 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
     out = long.select("variable", "nulls",
                       maybe_round(F.try_divide(F.col("nulls") * F.lit(100.0), F.col("_n")), digits)
                       .alias("null_pct"))
-    return out.where(F.col("nulls") > 0) if only_missing else out
+    out = out.where(F.col("nulls") > 0) if only_missing else out
+    return out.orderBy(F.col("nulls").desc(), "variable")
 
 
 def column_profile(df: DataFrame, key: str, cols: Sequence[str] | None = None,
@@ -176,10 +180,10 @@ def moments_from_counts(vc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.min(v).alias("min"), F.max(v).alias("max"))
     first = F.broadcast(first) if not by else first          # one row per variable without groups
     d = v - F.col("mean")
-    second = (vc.where(v.isNotNull()).join(first.select(*part, "mean"), part)
+    second = (null_safe_join(vc.where(v.isNotNull()), first.select(*part, "mean"), part)
                 .groupBy(*part).agg(F.sum(c * d * d).alias("m2"), F.sum(c * d * d * d).alias("m3"),
                                     F.sum(c * d * d * d * d).alias("m4")))
-    j = first.join(second, part, "left")
+    j = null_safe_join(first, second, part, "left")
     n = F.col("count").cast("double")
     m2, m3, m4 = F.col("m2"), F.col("m3"), F.col("m4")
     g1 = F.try_divide(m3 / n, F.pow(m2 / n, 1.5))
@@ -196,9 +200,9 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kurtosi
     exact quantiles (W1) are both derived from it — no per-group value list is materialised."""
     vc = materialize(value_count_table(df, cols, by, keep_nulls=True))
     mom = moments_from_counts(vc, by)
-    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), by, materialized=True),
+    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), by),
                              [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
-    out = mom.join(q.drop("n"), [*by, "variable"], "left")
+    out = null_safe_join(mom, q.drop("n"), [*by, "variable"], "left")
     extra = ["kurtosis"] if kurtosis else []
     return out.select(*by, "variable", "count",
                       (F.col("rows") - F.col("count")).alias("nulls"),

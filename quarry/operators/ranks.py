@@ -20,11 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.joins import null_safe_join
 from quarry.session import materialize
 
-ROWS_PER_BUCKET = 1_000_000      # distinct values per window partition in the rank pass
-
-
 
 def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
             variable: str = "variable", value: str = "value", keep_nulls: bool = False) -> DataFrame:
@@ -48,28 +46,19 @@ def value_count_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()
 
 
 def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "variable",
-                      value: str = "value", buckets: int | None = None,
-                      materialized: bool = False) -> DataFrame:
+                      value: str = "value", buckets: int | None = None) -> DataFrame:
     """Add ``cum_before`` (rows with a smaller value), ``n`` (rows in the partition) and
     ``rank`` (1-based mid-rank ``cum_before + (cnt + 1) / 2``) to a value-count table.
 
     ``buckets`` range partitions of (group, variable, value) — Spark's RangePartitioner: sampled
-    bounds, binary search per row — become the buckets.  By default the count is sized from the
-    value-count table (one bucket per ``ROWS_PER_BUCKET`` distinct values), so a small table
-    takes a single window partition per (group, variable) and a huge one is split evenly.
-    The bucketed table is written once (bounds are sampled, so every consumer must see the
-    same assignment); ``materialized=True`` says the input is already a written table.
+    bounds, binary search per row — become the buckets; without it their number is the session's
+    shuffle partition setting, which adaptive execution lowers for small tables.  The bucketed
+    table is written once (bounds are sampled, so every consumer must see the same assignment).
     """
     part = [*by, variable]
-    if buckets is None:
-        # size the buckets from the table itself: ~1M distinct values per window partition
-        vc = vc if materialized else materialize(vc)
-        buckets = max(1, -(-vc.count() // ROWS_PER_BUCKET))
-    if buckets > 1:
-        vcb = materialize(vc.repartitionByRange(buckets, *[F.col(c) for c in part], F.col(value))
-                            .withColumn("_b", F.spark_partition_id()))
-    else:
-        vcb = vc.withColumn("_b", F.lit(0))
+    order = [*(F.col(c) for c in part), F.col(value)]
+    ranged = vc.repartitionByRange(buckets, *order) if buckets else vc.repartitionByRange(*order)
+    vcb = materialize(ranged.withColumn("_b", F.spark_partition_id()))
     totals = vcb.groupBy(*part, "_b").agg(F.sum("cnt").alias("_bt"))
     wpart = Window.partitionBy(*part)
     offsets = totals.select(
@@ -80,7 +69,7 @@ def cumulative_counts(vc: DataFrame, by: Sequence[str] = (), variable: str = "va
     # Bounded by groups × variables × buckets rows; with no group it is small and broadcast.
     offsets = F.broadcast(offsets) if not by else offsets
     inb = Window.partitionBy(*part, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (vcb.join(offsets, [*part, "_b"], "inner")
+    return (null_safe_join(vcb, offsets, [*part, "_b"])
                .withColumn("cum_before", F.col("_off") + F.sum("cnt").over(inb) - F.col("cnt"))
                .withColumn("rank", F.col("cum_before") + (F.col("cnt") + F.lit(1.0)) / F.lit(2.0))
                .drop("_off", "_b"))
@@ -102,7 +91,8 @@ def with_midrank(df: DataFrame, col: str, out: str = None, by: Sequence[str] = (
     rt = rank_table(df, [col], by, buckets).select(*by, F.col("value").alias("_v"),
                                                     F.col("rank").alias(out))
     keyed = df.withColumn("_v", F.col(col).cast("double"))
-    return keyed.join(rt, [*by, "_v"], "left").drop("_v")
+    return null_safe_join(keyed.withColumn("_null", F.col("_v").isNull()), rt.withColumn("_null", F.lit(False)),
+                          [*by, "_v", "_null"], "left").drop("_v", "_null")
 
 
 def quantiles_from_ranks(rt: DataFrame, probs: Sequence[float], by: Sequence[str] = (),

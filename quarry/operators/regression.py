@@ -26,7 +26,7 @@ from quarry.operators.ranks import quantiles
 from quarry.operators.sampling import with_folds, with_split
 from quarry.session import cut_lineage
 
-# The listing features and target used by the reference's regression study.
+# Fixed values of the study: listing features, target, ridge alphas, forest grid.
 NUMERIC_FEATURES = ["latitude", "longitude", "number_of_reviews", "reviews_per_month", "availability_365"]
 CATEGORICAL_FEATURES = ["neighbourhood", "room_type"]
 TARGET = "price"
@@ -83,12 +83,11 @@ class ModeImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsW
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> _FillModel:
-        fills = {}
-        for c in self.getInputCols():
-            top = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-                     .orderBy(F.col("_n").desc(), F.col(c)).limit(1).collect())
-            fills[c] = top[0][c] if top else None
-        return _FillModel(inputCols=self.getInputCols(), fills=json.dumps(fills))
+        cols = self.getInputCols()
+        long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
+        counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("n"))
+        top = counts.groupBy("variable").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("m")).collect()  # one row per column
+        return _FillModel(inputCols=cols, fills=json.dumps({r["variable"]: r["m"] for r in top}))
 
 
 def _to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -98,15 +97,19 @@ def _to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def preprocessing_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     """L1/L2 — numeric: exact median impute → assemble → standardise (mean 0, sd 1);
     categorical: most-frequent impute → index (alphabetical, unseen kept) → one-hot whose dropped
-    last slot is the unseen bucket, so unseen or null categories encode as all zeros."""
+    last slot is the unseen bucket, so unseen or null categories encode as all zeros.  The indexer
+    gathers the categories on the driver: columns must have a bounded number of them."""
     idx = [f"{c}__idx" for c in categorical]
     ohe = [f"{c}__ohe" for c in categorical]
-    return [
-        MedianImputer(inputCols=list(numeric)),
+    nominal = [
         ModeImputer(inputCols=list(categorical)),
         StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
+    ] if categorical else []
+    return [
+        MedianImputer(inputCols=list(numeric)),
+        *nominal,
         VectorAssembler(inputCols=list(numeric), outputCol="num__vec", handleInvalid="keep"),
         StandardScaler(inputCol="num__vec", outputCol="num__scaled", withMean=True, withStd=True),
         VectorAssembler(inputCols=["num__scaled", *ohe], outputCol="features"),
@@ -128,7 +131,7 @@ def make_regressor(name: str, label: str, n: int | None = None, label_std: float
                                 maxIter=1000, tol=1e-9, **common)
     if name == "lasso":
         return LinearRegression(elasticNetParam=1.0, regParam=overrides.get("alpha", 1.0), standardization=False,
-                                maxIter=5000, **common)
+                                maxIter=5000, tol=1e-9, **common)
     if name == "tree":
         return DecisionTreeRegressor(maxDepth=8, seed=42, **common)
     if name == "forest":
@@ -163,10 +166,10 @@ def predict(model: PipelineModel, df: DataFrame, numeric: Sequence[str] = NUMERI
 
 
 def regression_metrics(pred: DataFrame, label: str = TARGET, prediction: str = "prediction") -> DataFrame:
-    """L17 — MAE, RMSE and R² in one aggregation: ``(n, mae, rmse, r2)``."""
+    """L17 — MAE, RMSE and R² in one aggregation: ``(n, mae, rmse, r2)``; R² of a constant label is NULL."""
     e = F.col(label) - F.col(prediction)
     return pred.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                    (1 - F.sum(e * e) / (F.count("*") * F.var_pop(label))).alias("r2"))
+                    (1 - F.try_divide(F.sum(e * e), F.count("*") * F.var_pop(label))).alias("r2"))
 
 
 def prepare(df: DataFrame, key: str = "id", label: str = TARGET,
@@ -184,11 +187,14 @@ def prepare(df: DataFrame, key: str = "id", label: str = TARGET,
 def cross_validate(data: DataFrame, models: Sequence[str] | Mapping[str, dict], k: int = 5,
                    label: str = TARGET, fold_col: str = "fold", numeric: Sequence[str] = NUMERIC_FEATURES,
                    categorical: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """L11 — per fold: fit the preprocessing on the other folds only (no leakage), then fit every
-    model on those features and score the held-out fold.  The fold's feature table is cached
+    """L11 — per fold of the training split (all rows if there is no ``split`` column): fit the
+    preprocessing on the other folds only, then fit every model on those features and score the
+    held-out fold.  The fold's feature table is cached
     for the models that share it and released after the fold.  Returns the fold metric table
     ``(model, fold, n, mae, rmse, r2)`` (a small driver-built table)."""
     spark = data.sparkSession
+    if "split" in data.columns:
+        data = data.where(F.col("split") == "train")          # the hold-out rows never take part
     specs = {m: {} for m in models} if not isinstance(models, Mapping) else dict(models)
     rows = []
     for f in range(k):
@@ -225,9 +231,9 @@ def stability(summary: DataFrame) -> DataFrame:
                        F.min_by("model", F.struct("rmse_mean", "model")).alias("best"))
 
 
-def ridge_grid(data: DataFrame, alphas: Sequence[float] = RIDGE_ALPHAS, k: int = 5) -> DataFrame:
-    """L14 — grid search of Ridge α by mean CV RMSE."""
-    folds = cross_validate(data, {f"ridge_alpha={a:g}": {"family": "ridge", "alpha": a} for a in alphas}, k)
+def ridge_grid(data: DataFrame, alphas: Sequence[float] = RIDGE_ALPHAS, k: int = 5, **features) -> DataFrame:
+    """L14 — grid search of Ridge α by mean CV RMSE; ``features`` go to ``cross_validate``."""
+    folds = cross_validate(data, {f"ridge_alpha={a:g}": {"family": "ridge", "alpha": a} for a in alphas}, k, **features)
     return cv_summary(folds)
 
 
@@ -242,12 +248,13 @@ def forest_random_search(data: DataFrame, n_iter: int = 15, seed: int = 42, k: i
     return cv_summary(cross_validate(data, specs, k))
 
 
-def holdout_report(data: DataFrame, model: str, cv_rmse: float | None = None, **hp) -> tuple[PipelineModel, DataFrame]:
+def holdout_report(data: DataFrame, model: str, cv_rmse: float | None = None, numeric: Sequence[str] = NUMERIC_FEATURES,
+                   categorical: Sequence[str] = CATEGORICAL_FEATURES, **hp) -> tuple[PipelineModel, DataFrame]:
     """L16–L18 — fit on the train split, metrics on the test split, and the generalisation check
     ``|RMSE_test − RMSE_cv| / RMSE_cv < 10 %``."""
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    m = fit_pipeline(train, model, **hp)
-    met = regression_metrics(predict(m, test)).withColumn("model", F.lit(model))
+    m = fit_pipeline(train, model, numeric, categorical, **hp)
+    met = regression_metrics(predict(m, test, numeric)).withColumn("model", F.lit(model))
     if cv_rmse is not None:
         gap = F.abs(F.col("rmse") - F.lit(cv_rmse)) / F.lit(cv_rmse)
         met = met.withColumn("cv_rmse", F.lit(cv_rmse)).withColumn("generalises", gap < 0.10)
@@ -271,6 +278,13 @@ def residual_bins(res: DataFrame, by: str = "predicted", bins: int = 20) -> Data
                .groupBy("bin").agg(F.count("*").alias("n"), F.avg("residual").alias("mean_residual")))
 
 
+def residual_histogram(res: DataFrame, bins: int = 30) -> DataFrame:
+    """L19 — equal-width histogram of the residuals with their mean beside every bin."""
+    from quarry.operators.distribution import histogram
+    mean = res.agg(F.avg("residual")).scalar()
+    return histogram(res, ["residual"], bins).drop("variable").withColumn("mean_residual", mean)
+
+
 def _feature_names(model: PipelineModel, pred: DataFrame) -> list[str]:
     """Names from the assembled vector's ML attributes; scaled numeric slots get their input
     column names back (the scaler drops them)."""

@@ -16,23 +16,22 @@ def attach_metadata_rates(facts: DataFrame, meta: DataFrame, kind: str | None =
                           rate_name: str = "rate_pct", digits: int | None = None) -> DataFrame:
     """J1 — mean ×100 of each metadata variable over all facts, next to its metadata row.
 
-    The reference expresses this as ``meta JOIN facts ON 1=1`` plus a CASE that picks the fact
-    column named in the metadata row (22 × N rows).  Here: ONE scan of the facts unpivoted to
-    ``(variable, value)``, partial aggregation per variable, then an equi-join to the metadata,
-    which is a literal dimension (bounded size) and is broadcast.
+    The literal form is ``meta JOIN facts ON 1=1`` plus a CASE that picks the fact column named in
+    the metadata row (22 × N rows).  Here: one wide aggregate over the facts, its single row
+    stacked to one per column (bounded by the schema, so broadcast), and an equi-join to the
+    metadata of any size.
     """
     if candidates is None:
         candidates = [f.name for f in facts.schema.fields if isinstance(f.dataType, T.NumericType)]
     cols = [c for c in candidates if c not in set(exclude)]
-    long = (facts.select(*[F.col(c).cast("double").alias(c) for c in cols])
-                 .unpivot([], cols, "variable", "value"))
-    rates = long.groupBy("variable").agg(F.avg("value").alias("_avg"))
+    row = facts.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
+    rates = row.unpivot([], cols, "variable", "_avg").where(F.col("_avg").isNotNull())
     m = meta.where(~F.col("variable").isin(list(exclude)))
     if kind is not None:
         m = m.where(F.col("kind") == kind)
-    return (rates.join(F.broadcast(m), "variable", "inner")
-                 .select("variable", *[c for c in m.columns if c != "variable"],
-                         maybe_round(F.col("_avg") * F.lit(100.0), digits).alias(rate_name)))
+    return (m.join(F.broadcast(rates), "variable", "inner")
+             .select("variable", *[c for c in m.columns if c != "variable"],
+                     maybe_round(F.col("_avg") * F.lit(100.0), digits).alias(rate_name)))
 
 
 def combine_by_key(left: DataFrame, right: DataFrame, key: str | Sequence[str] = "variable",

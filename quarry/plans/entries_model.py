@@ -17,17 +17,9 @@ def _data(spark, d):
     return RG.prepare(V.listings(spark, d))
 
 
-_CV_CACHE: dict = {}
-
-
 def _cv_linear(spark, d):
-    """Fold metrics of the linear family (15 small rows).  Three reports share them, so they are
-    computed once per session and data directory instead of refitting 15 models each time."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _CV_CACHE:
-        folds = RG.cross_validate(_data(spark, d), LINEAR_FAMILY, 5)
-        _CV_CACHE[key] = spark.createDataFrame(folds.collect(), folds.schema)
-    return _CV_CACHE[key]
+    """Fold metrics of the linear family on the training split (15 small rows)."""
+    return RG.cross_validate(_data(spark, d), LINEAR_FAMILY, 5)
 
 
 @register("listings_regression_cv_linear")
@@ -89,6 +81,129 @@ def q_listings_residual_bins(spark, d):
     return RG.residual_bins(res, "predicted", 20)
 
 
+# One-feature twins: the same operators on one null-free feature, where every model of the linear
+# family has a closed form that SQL can state.  With z the standardised feature, Szz = n - 1 and
+# Szy = Sxy / sd: linear Szy / Szz, ridge Szy / (Szz + alpha), lasso soft(Szy / n, alpha) / (Szz / n).
+ONE = {"numeric": ["availability_365"], "categorical": []}
+DIGITS = 3
+_BITS = "CAST(('0x' || substr(md5('42|{}' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT)"
+_ROWS = (f"r AS (SELECT id, CAST(price AS DOUBLE) AS y, CAST(availability_365 AS DOUBLE) AS x, "
+         f"CASE WHEN {_BITS.format('')} % 100 < 70 THEN 'train' ELSE 'test' END AS split, {_BITS.format('fold|')} % 5 AS fold "
+         "FROM v_listings WHERE price IS NOT NULL AND price > 0)")
+_BETA = {"linear": "szy / szz", "ridge": "szy / (szz + 1)",
+         "lasso": "sign(szy) * greatest(abs(szy) / n - 1, 0) / (szz / n)"}
+_SCORE = ("COUNT(*) AS n, AVG(abs(y - p)) AS mae, sqrt(AVG((y - p) * (y - p))) AS rmse, "
+          "1 - SUM((y - p) * (y - p)) / (COUNT(*) * var_pop(y)) AS r2")
+_FIT = ("COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, stddev_samp(x) AS sd, CAST(COUNT(*) - 1 AS DOUBLE) AS szz, "
+        "regr_sxy(y, x) / stddev_samp(x) AS szy")
+
+
+def _cv_sql(betas):
+    """CTEs: rows, the fit without each fold, fold metrics of each model, their summary."""
+    models = " UNION ALL ".join(f"SELECT '{m}' AS model, f, mx, my, sd, {b} AS beta FROM fit" for m, b in betas.items())
+    return (f"WITH {_ROWS}, fit AS (SELECT f, {_FIT} FROM r, range(5) AS t(f) WHERE split = 'train' AND fold <> f GROUP BY f), "
+            f"b AS ({models}), s AS (SELECT model, f, {_SCORE} FROM (SELECT model, f, y, my + beta * (x - mx) / sd AS p "
+            "FROM b JOIN r ON r.split = 'train' AND r.fold = b.f) GROUP BY model, f), "
+            "c AS (SELECT model, " + ", ".join(f"AVG({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in ("mae", "rmse", "r2"))
+            + " FROM s GROUP BY model) ")
+
+
+_SUMMARY = "SELECT model, " + ", ".join(R(f"{m}_{k}", f"{m}_{k}", DIGITS) for m in ("mae", "rmse", "r2") for k in ("mean", "std")) + " FROM c"
+_CV_ONE = _cv_sql(_BETA)
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+def _cv_one(spark, d):
+    return RG.cross_validate(_data(spark, d), LINEAR_FAMILY, 5, **ONE)
+
+
+@register("listings_cv_one_feature", _CV_ONE + _SUMMARY, L)
+def q_listings_cv_one_feature(spark, d):
+    """L3–L6, L11, L12 — 5-fold CV of linear, ridge and lasso on the training split."""
+    return _rounded(RG.cv_summary(_cv_one(spark, d)))
+
+
+@register("listings_cv_one_feature_rows", f"WITH {_ROWS} SELECT m.model, COUNT(*) AS n FROM r, (VALUES ('linear')) AS m(model) "
+          "WHERE split = 'train' GROUP BY 1", L)
+def q_listings_cv_one_feature_rows(spark, d):
+    """L11 — rows scored over all folds: those of the training split, each once."""
+    return RG.cross_validate(_data(spark, d), ["linear"], 5, **ONE).groupBy("model").agg(F.sum("n").alias("n"))
+
+
+@register("listings_stability_one_feature", _CV_ONE + "SELECT (SELECT model FROM c ORDER BY rmse_std, model LIMIT 1) AS most_stable, "
+          "(SELECT model FROM c ORDER BY rmse_std DESC LIMIT 1) AS most_variable, "
+          "(SELECT model FROM c ORDER BY rmse_mean, model LIMIT 1) AS best", L)
+def q_listings_stability_one_feature(spark, d):
+    """L13 — most stable, most variable and best model."""
+    return RG.stability(RG.cv_summary(_cv_one(spark, d)))
+
+
+@register("listings_ridge_grid_one_feature",
+          _cv_sql({f"ridge_alpha={a:g}": f"szy / (szz + {a})" for a in RG.RIDGE_ALPHAS}) + _SUMMARY, L)
+def q_listings_ridge_grid_one_feature(spark, d):
+    """L14 — Ridge α grid by mean CV RMSE."""
+    return _rounded(RG.ridge_grid(_data(spark, d), **ONE))
+
+
+_HOLD = (f"WITH {_ROWS}, fit AS (SELECT {_FIT} FROM r WHERE split = 'train'), "
+         "p AS (SELECT id, y, my + szy / szz * (x - mx) / sd AS p FROM r, fit WHERE split = 'test') ")
+
+
+@register("listings_holdout_one_feature", _cv_sql({"linear": _BETA["linear"]}) + ", h AS (SELECT "
+          f"{_FIT} FROM r WHERE split = 'train'), m AS (SELECT {_SCORE} FROM (SELECT y, my + szy / szz * (x - mx) / sd AS p "
+          "FROM r, h WHERE split = 'test')) SELECT 'linear' AS best_model, "
+          + ", ".join(R(c, c, DIGITS) for c in ("mae", "rmse", "r2")) + f", {R('rmse_mean', 'cv_rmse', DIGITS)}, "
+          "CAST(abs(rmse - rmse_mean) / rmse_mean < 0.10 AS BIGINT) AS generalises, (SELECT COUNT(*) FROM r) AS rows, "
+          "(SELECT COUNT(*) FROM r WHERE split = 'train') AS train_rows, (SELECT COUNT(*) FROM r WHERE split = 'test') AS test_rows FROM m, c", L)
+def q_listings_holdout_one_feature(spark, d):
+    """L16–L18, L22 — fit on train, score on test, compare with the CV error, sum up."""
+    data = _data(spark, d)
+    cv = RG.cv_summary(RG.cross_validate(data, ["linear"], 5, **ONE)).first()["rmse_mean"]
+    _, met = RG.holdout_report(data, "linear", cv_rmse=cv, **ONE)
+    return _rounded(RG.executive_summary(data, "linear", met))
+
+
+def _one_residuals(spark, d):
+    data = _data(spark, d)
+    m = RG.fit_pipeline(data.where(F.col("split") == "train"), "linear", **ONE)
+    return RG.residuals(RG.predict(m, data.where(F.col("split") == "test"), ONE["numeric"]))
+
+
+@register("listings_residuals_one_feature", _HOLD + f"SELECT id, {R('y', 'actual', DIGITS)}, {R('p', 'predicted', DIGITS)}, "
+          f"{R('y - p', 'residual', DIGITS)} FROM p", L)
+def q_listings_residuals_one_feature(spark, d):
+    """L19 — residual table of the hold-out."""
+    return _rounded(_one_residuals(spark, d))
+
+
+@register("listings_residual_order_bins", _HOLD + ", q AS (SELECT id, y - p AS e, min(id) OVER () AS lo, max(id) OVER () AS hi FROM p) "
+          "SELECT least(CAST(floor((CAST(id AS DOUBLE) - lo) / CAST(hi - lo AS DOUBLE) * 20) AS BIGINT), 19) AS bin, COUNT(*) AS n, "
+          f"{R('AVG(e)', 'mean_residual', DIGITS)} FROM q GROUP BY 1", L)
+def q_listings_residual_order_bins(spark, d):
+    """L19 — mean residual against the order of the keys."""
+    return _rounded(RG.residual_bins(_one_residuals(spark, d), "id", 20))
+
+
+@register("listings_residual_histogram", _HOLD + ", q AS (SELECT y - p AS e FROM p), m AS (SELECT min(e) AS lo, max(e) AS hi, AVG(e) AS a FROM q) "
+          f"SELECT least(CAST(floor((e - lo) / (hi - lo) * 20) AS BIGINT), 19) AS bin, COUNT(*) AS n, {R('any_value(a)', 'mean_residual', DIGITS)} "
+          "FROM q, m GROUP BY 1", L)
+def q_listings_residual_histogram(spark, d):
+    """L19 — histogram of the residuals with their mean."""
+    return _rounded(RG.residual_histogram(_one_residuals(spark, d), 20).select("bin", "n", "mean_residual"))
+
+
+@register("listings_coefficient_one_feature", f"WITH {_ROWS}, fit AS (SELECT {_FIT} FROM r WHERE split = 'train') SELECT 'availability_365' AS feature, "
+          f"{R('szy / szz', 'coef', DIGITS)}, CASE WHEN szy >= 0 THEN '+' ELSE '-' END AS sign FROM fit", L)
+def q_listings_coefficient_one_feature(spark, d):
+    """L4, L20 — the coefficient of the standardised feature, with name and sign."""
+    data = _data(spark, d)
+    m = RG.fit_pipeline(data.where(F.col("split") == "train"), "linear", **ONE)
+    return _rounded(RG.coefficient_table(m, RG.predict(m, data, ONE["numeric"])))
+
+
 _DRAW = "CAST(('0x' || substr(md5('42|' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
 
 
