@@ -94,12 +94,6 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "median") -> Data
     return out
 
 
-def summary_by_variable(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(variable, mean, median, std, nulls)`` — the subset of ``describe`` used by M7."""
-    from quarry.operators.profile import describe
-    return describe(df, cols, kurtosis=False).select("variable", "mean", "median", "std", "nulls")
-
-
 def compare_imputations(frames: Sequence[tuple[str, DataFrame]], cols: Sequence[str]) -> DataFrame:
     """M7 — before / after table: one row per (method, variable) with mean, median, std, nulls
     (U1 row-stacking of the per-method summaries)."""

@@ -145,22 +145,30 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
 def column_profile(df: DataFrame, key: str, cols: Sequence[str] | None = None,
                    digits: int | None = None, approx_distinct: bool = False) -> DataFrame:
     """A28 — per column: type, non-null, nulls, % null, distinct values, and a deterministic
-    sample value (the value at the smallest key among non-null rows), all in one scan.
-    ``approx_distinct`` (A3 opt-in for wide tables) uses HyperLogLog++ sketches instead of
-    exact distinct counts, which avoid one expanded copy of the data per column."""
+    sample value (the value at the smallest key among non-null rows).  Counts and samples are one
+    aggregate; distinct values are counted from one grouping of (column, 128-bit hash of the
+    value), pre-aggregated per task, so long texts are not shuffled.  ``approx_distinct`` (A3
+    opt-in for wide tables) uses HyperLogLog++ sketches in the first aggregate instead."""
     cols = [c for c in (cols or df.columns)]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(cols):
         cc = F.col(f"`{c}`")
-        nd = F.approx_count_distinct(cc) if approx_distinct else F.count_distinct(cc)
-        aggs += [F.count(cc).alias(f"nn{i}"), nd.alias(f"nd{i}"),
+        aggs += [F.count(cc).alias(f"nn{i}"),
                  F.min_by(cc.cast("string"), F.when(cc.isNotNull(), F.col(key))).alias(f"sv{i}")]
+        if approx_distinct:
+            aggs.append(F.approx_count_distinct(cc).alias(f"nd{i}"))
     row = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("variable"), F.lit(types[c]).alias("dtype"),
-                        F.col(f"nn{i}").alias("non_null"), F.col(f"nd{i}").alias("distinct"),
+    structs = [F.struct(F.lit(c).alias("variable"), F.lit(types[c]).alias("dtype"), F.col(f"nn{i}").alias("non_null"),
+                        *([F.col(f"nd{i}").alias("distinct")] if approx_distinct else []),
                         F.col(f"sv{i}").alias("sample_value")) for i, c in enumerate(cols)]
-    long = row.select("_n", F.explode(F.array(*structs)).alias("s")).select("_n", "s.*")
+    long = row.select("_n", F.inline(F.array(*structs)))
+    if not approx_distinct:
+        hashed = [F.struct(F.lit(c).alias("variable"), F.xxhash64(F.col(f"`{c}`")).alias("h"),
+                           F.xxhash64(F.col(f"`{c}`"), F.lit(1)).alias("g"), F.col(f"`{c}`").isNotNull().alias("there")) for c in cols]
+        seen = df.select(F.inline(F.array(*hashed))).where("there").groupBy("variable", "h", "g").agg(F.lit(1).alias("one"))
+        long = long.join(seen.groupBy("variable").agg(F.count("*").alias("distinct")), "variable", "left")
+        long = long.withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     return long.select("variable", "dtype", "non_null", (F.col("_n") - F.col("non_null")).alias("nulls"),
                        maybe_round(F.try_divide((F.col("_n") - F.col("non_null")) * F.lit(100.0), F.col("_n")),
                                    digits).alias("null_pct"),

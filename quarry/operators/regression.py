@@ -237,15 +237,16 @@ def ridge_grid(data: DataFrame, alphas: Sequence[float] = RIDGE_ALPHAS, k: int =
     return cv_summary(folds)
 
 
-def forest_random_search(data: DataFrame, n_iter: int = 15, seed: int = 42, k: int = 5) -> DataFrame:
-    """L15 — seeded sample of ``n_iter`` of the 18 forest combinations, scored by CV RMSE."""
+def forest_random_search(data: DataFrame, n_iter: int = 15, seed: int = 42, k: int = 5, **features) -> DataFrame:
+    """L15 — seeded sample of ``n_iter`` of the 18 forest combinations, scored by CV RMSE;
+    ``features`` go to ``cross_validate``."""
     combos = [(t, dpt, s) for t in FOREST_GRID["numTrees"] for dpt in FOREST_GRID["maxDepth"]
               for s in FOREST_GRID["min_samples_split"]]
     picked = random.Random(seed).sample(combos, min(n_iter, len(combos)))
     specs = {f"forest_trees={t}_depth={dpt}_split={s}":
              {"family": "forest", "numTrees": t, "maxDepth": dpt, "minInstancesPerNode": MIN_SPLIT_TO_MIN_INSTANCES[s]}
              for t, dpt, s in picked}
-    return cv_summary(cross_validate(data, specs, k))
+    return cv_summary(cross_validate(data, specs, k, **features))
 
 
 def holdout_report(data: DataFrame, model: str, cv_rmse: float | None = None, numeric: Sequence[str] = NUMERIC_FEATURES,

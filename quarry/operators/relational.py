@@ -64,8 +64,3 @@ def stack_labelled(frames: Sequence[tuple[str, DataFrame]], label: str = "method
         f = f.withColumn(label, F.lit(name))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def tail(df: DataFrame, key: str, n: int) -> DataFrame:
-    """S8 — last ``n`` rows by an explicit key (DataFrames have no row order)."""
-    return df.orderBy(F.col(key).desc()).limit(n)

@@ -66,3 +66,4 @@ def _load_all() -> None:
     from quarry.plans import entries_stats  # noqa: F401
     from quarry.plans import entries_missing  # noqa: F401
     from quarry.plans import entries_model  # noqa: F401
+    from quarry.plans import entries_sources  # noqa: F401

@@ -193,9 +193,9 @@ _LISTING_COLS = ["id", "name", "host_id", "host_name", "neighbourhood", "latitud
                  "calculated_host_listings_count", "availability_365", "number_of_reviews_ltm"]
 
 
-@register("docs_null_profile", _null_sql("v_docs", _DOC_COLS), DOC)
+@register("docs_null_profile", _null_sql("v_docs_text", [*_DOC_COLS, "text"]), ("v_docs_text",))
 def q_docs_null_profile(spark, d):
-    return P.null_profile(V.docs(spark, d))
+    return P.null_profile(V.docs(spark, d, with_text=True))
 
 
 @register("listings_null_profile", _null_sql("v_listings", _LISTING_COLS), L)
@@ -203,7 +203,7 @@ def q_listings_null_profile(spark, d):
     return P.null_profile(V.listings(spark, d))
 
 
-_DOC_TYPES = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint",
+_DOC_TYPES = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint", "text": "string",
               "quality": "bigint", "toxic": "bigint"}
 
 
@@ -212,9 +212,9 @@ _DOC_TYPES = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars
               f"SELECT '{c}' AS variable, '{t}' AS dtype, COUNT({c}) AS non_null, COUNT(*) - COUNT({c}) AS nulls, "
               + R(f"(COUNT(*) - COUNT({c})) * 100.0 / COUNT(*)", "null_pct")
               + f", COUNT(DISTINCT {c}) AS distinct, arg_min(CAST({c} AS VARCHAR), doc_id) "
-              f"FILTER (WHERE {c} IS NOT NULL) AS sample_value FROM v_docs" for c, t in _DOC_TYPES.items()), DOC)
+              f"FILTER (WHERE {c} IS NOT NULL) AS sample_value FROM v_docs_text" for c, t in _DOC_TYPES.items()), ("v_docs_text",))
 def q_docs_column_profile(spark, d):
-    return P.column_profile(V.docs(spark, d), "doc_id", list(_DOC_TYPES))
+    return P.column_profile(V.docs(spark, d, with_text=True), "doc_id", list(_DOC_TYPES))
 
 
 @register("docs_null_patterns",

@@ -1,7 +1,7 @@
 """Catalogue entries: correlation, χ², Kruskal–Wallis, ANOVA, mutual information (T-family).
 
-Statistics are oracle-checked; p-values (X1) have no DuckDB equivalent, so the ``*_tests``
-entries that carry them get the rows-only check and unit tests against known values.
+Statistics are oracle-checked.  DuckDB has no χ², F or t distribution; the oracle of a p-value (X1)
+is the ratio of two midpoint sums over its density, in coordinates where the density is smooth.
 """
 
 from __future__ import annotations
@@ -20,6 +20,33 @@ CORR_LISTINGS = ["price", "minimum_nights", "number_of_reviews", "reviews_per_mo
 CORR_SURVEY = ["target", "bmi", "age", "gen_hlth", "ment_hlth", "income", "high_bp"]
 
 
+_STEPS = 20000
+
+
+def f_p_sql(f: str, d1: str, d2: str) -> str:
+    """P(F > f): with F = d2 / d1 · tan² θ the density is sin^(d1-1) θ · cos^(d2-1) θ on (0, π/2)."""
+    top = f"least(pi() / 2, (sqrt({d1}) + 14) / sqrt({d2}))"
+
+    def area(low):
+        x = f"({low} + (i + 0.5) * ({top} - {low}) / {_STEPS})"
+        return (f"(SELECT sum(exp(({d1} - 1) * ln(sin({x})) + ({d2} - 1) * ln(cos({x})))) * ({top} - {low}) / {_STEPS} "
+                f"FROM range({_STEPS}) AS t(i))")
+    return f"CASE WHEN atan(sqrt({f} * {d1} / {d2})) >= {top} THEN 0.0 ELSE {area(f'atan(sqrt({f} * {d1} / {d2}))')} / {area('0.0')} END"
+
+
+def chi2_p_sql(x: str, dof: str) -> str:
+    """P(χ² > x): with χ² = w² the density is w^(dof-1) · exp(-w² / 2)."""
+    def area(low, high):
+        w = f"({low} + (i + 0.5) * ({high} - {low}) / {_STEPS})"
+        return (f"(SELECT sum(exp(({dof} - 1) * ln({w}) - {w} * {w} / 2)) * ({high} - {low}) / {_STEPS} "
+                f"FROM range({_STEPS}) AS t(i))")
+    return f"{area(f'sqrt({x})', f'(sqrt({x}) + 14)')} / {area('0.0', f'(sqrt({dof}) + 14)')}"
+
+
+def stars_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' WHEN {p} IS NOT NULL THEN 'ns' END"
+
+
 def _pearson_sql(view, cols):
     parts = []
     for a, b in combinations(cols, 2):
@@ -74,13 +101,27 @@ def q_listings_price_correlations_top5(spark, d):
     return A.with_target(m, "price", "r", k=5)
 
 
-@register("listings_price_correlation_tests", None)
+def _price_tests_sql():
+    """Both coefficients with price over pairwise complete rows, t = r sqrt(n-2) / sqrt(1-r²), two-sided p."""
+    pairs = [(c, "price") for c in CORR_LISTINGS[1:]]
+    cols = {"pearson": _pearson_sql("v_listings", [*CORR_LISTINGS[1:], "price"]).replace("6) + 0.0 AS r", "17) AS r"),
+            "spearman": _spearman_sql("v_listings", pairs).replace("6) + 0.0 AS rho", "17) AS rho")}
+    p = {k: f_p_sql(f"({r} * {r} * (n - 2) / (1 - {r} * {r}))", "1.0", "(n - 2.0)") for k, r in (("pearson", "r"), ("spearman", "rho"))}
+    return (f"WITH a AS ({cols['pearson']}), b AS ({cols['spearman']}), "
+            "j AS (SELECT a.var_x AS variable, a.n, a.r, b.rho FROM a JOIN b ON a.var_x = b.var_x AND a.var_y = b.var_y WHERE a.n >= 10), "
+            f"p AS (SELECT *, {p['pearson']} AS pp, {p['spearman']} AS sp FROM j) "
+            f"SELECT variable, {R('r', 'pearson_r')}, n, {R('rho', 'spearman_rho')}, {R('pp', 'pearson_p')}, {R('sp', 'spearman_p')}, "
+            f"{stars_sql('pp')} AS pearson_sig, {stars_sql('sp')} AS spearman_sig FROM p")
+
+
+@register("listings_price_correlation_tests", _price_tests_sql(), L)
 def q_listings_price_correlation_tests(spark, d):
-    """T4–T6 — Pearson and Spearman with p-values and stars (rows-only check)."""
+    """T4–T6, P16, X1 — Pearson and Spearman with p-values and stars."""
     return A.correlation_tests(V.listings(spark, d), "price", CORR_LISTINGS[1:])
 
 
-def _chi_sql(view, cols, target):
+def _chi_sql(view, cols, target, with_p=False):
+    p = ", " + R(f"CASE WHEN dof > 0 THEN {chi2_p_sql('x2', 'dof')} END", "p_value") if with_p else ""
     return (
         f"WITH o AS (SELECT variable, value, class, COUNT(*) AS o FROM (SELECT * FROM (SELECT CAST({target} AS DOUBLE) AS class, "
         + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
@@ -99,7 +140,7 @@ def _chi_sql(view, cols, target):
         "SELECT variable, n, n_rows, n_cols, CAST(dof AS BIGINT) AS dof, "
         + R("CASE WHEN dof > 0 THEN x2 END", "chi2") + ", "
         + R("CASE WHEN least(n_rows, n_cols) > 1 AND dof > 0 THEN sqrt(x2 / (n * (least(n_rows, n_cols) - 1))) END",
-            "cramers_v") + " FROM s")
+            "cramers_v") + p + " FROM s")
 
 
 @register("survey_chi_square", _chi_sql("v_survey", V.SURVEY_NOMINAL + ["age"], "target"), S)
@@ -107,9 +148,9 @@ def q_survey_chi_square(spark, d):
     return A.chi_square(V.survey(spark, d), V.SURVEY_NOMINAL + ["age"], "target", with_p=False)
 
 
-@register("survey_chi_square_tests", None)
+@register("survey_chi_square_tests", _chi_sql("v_survey", V.SURVEY_NOMINAL, "target", with_p=True), S)
 def q_survey_chi_square_tests(spark, d):
-    """T7/T8 with p-values (rows-only check)."""
+    """T7/T8, X1 — with p-values."""
     return A.chi_square(V.survey(spark, d), V.SURVEY_NOMINAL, "target")
 
 
@@ -183,9 +224,18 @@ def q_survey_anova_by_age(spark, d):
     return A.anova_oneway(V.survey(spark, d), ["bmi", "ment_hlth"], "age", min_group=5, with_p=False)
 
 
-@register("listings_group_tests", None)
+def _unrounded(sql: str) -> str:
+    return sql.replace("6) + 0.0", "17)")
+
+
+@register("listings_group_tests",
+          f"WITH kw AS ({_unrounded(_kruskal_sql('v_listings', ['price'], 'room_type'))}), "
+          f"an AS ({_unrounded(_anova_sql('v_listings', ['price'], 'room_type', 5))}) "
+          f"SELECT kw.variable, kw.k, kw.n, {R('h', 'h')}, kw.dof, {R(chi2_p_sql('h', 'dof'), 'kruskal_p')}, {R('f', 'f')}, "
+          + R(f_p_sql("f", "CAST(df_between AS DOUBLE)", "CAST(df_within AS DOUBLE)"), "p_value")
+          + " FROM kw JOIN an ON kw.variable = an.variable", L)
 def q_listings_group_tests(spark, d):
-    """T10/T11 with p-values (rows-only check): Kruskal–Wallis and ANOVA of price by room type."""
+    """T10/T11, X1 — Kruskal–Wallis and ANOVA of price by room type, with p-values."""
     v = V.listings(spark, d)
     kw = A.kruskal_wallis(v, ["price"], "room_type")
     an = A.anova_oneway(v, ["price"], "room_type", min_group=5)

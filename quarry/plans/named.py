@@ -23,17 +23,17 @@ def survey_total_rows(s: DataFrame) -> DataFrame:
 
 
 def survey_class_share(s: DataFrame, digits: int | None = 2) -> DataFrame:
-    return P.share_by(s.select(F.col("target").alias("class")), ["class"], "n", "pct", digits)
+    return P.share_by(s.select(F.col("target").alias("class")), ["class"], "n", "pct", digits).orderBy("class")
 
 
 def survey_means_by_class(s: DataFrame, cols=("bmi", "age", "gen_hlth", "ment_hlth", "phys_hlth", "income"),
                           digits: int | None = 2) -> DataFrame:
     return s.groupBy(F.col("target").alias("class")).agg(
-        *[maybe_round(F.avg(c), digits).alias(f"avg_{c}") for c in cols])
+        *[maybe_round(F.avg(c), digits).alias(f"avg_{c}") for c in cols]).orderBy("class")
 
 
 def survey_rate_by(s: DataFrame, key: str, digits: int | None = 2) -> DataFrame:
-    return P.rate_by(s, [key], "target", "total", "positives", "rate_pct", digits)
+    return P.rate_by(s, [key], "target", "total", "positives", "rate_pct", digits).orderBy(key)
 
 
 def survey_high_risk_count(s: DataFrame, with_smoker: bool = False) -> DataFrame:
@@ -53,25 +53,27 @@ def survey_meta_single(s: DataFrame, meta: DataFrame, variable: str = "target",
                 .orderBy("variable").limit(1))
 
 
+# Variables that the prevalence report leaves out.
 SURVEY_PREVALENCE_EXCLUDED = ["target", "sex", "chol_check", "fruits", "veggies", "hvy_alcohol",
                               "any_healthcare", "no_doc_cost"]
 
 
 def survey_prevalence(s: DataFrame, meta: DataFrame, digits: int | None = 2) -> DataFrame:
-    """J1 — prevalence % of each nominal risk factor next to its metadata."""
-    return attach_metadata_rates(s, meta, kind="nominal", exclude=SURVEY_PREVALENCE_EXCLUDED,
-                                 rate_name="prevalence_pct", digits=digits)
+    """J1 — prevalence % of each nominal risk factor next to its metadata, highest first."""
+    rates = attach_metadata_rates(s, meta, kind="nominal", exclude=SURVEY_PREVALENCE_EXCLUDED,
+                                  rate_name="prevalence_pct", digits=digits)
+    return rates.orderBy(F.desc("prevalence_pct"), "variable")
 
 
 def survey_bmi_by_sex_class(s: DataFrame, digits: int | None = 2) -> DataFrame:
     return s.groupBy(F.col("sex"), F.col("target").alias("class")).agg(
         F.count("*").alias("total"), maybe_round(F.avg("bmi"), digits).alias("bmi_avg"),
-        maybe_round(F.min("bmi"), digits).alias("bmi_min"), maybe_round(F.max("bmi"), digits).alias("bmi_max"))
+        maybe_round(F.min("bmi"), digits).alias("bmi_min"), maybe_round(F.max("bmi"), digits).alias("bmi_max")).orderBy("sex", "class")
 
 
 # ---------------------------------------------------------------- listings (regression) reports
 def listings_share_by_room_type(v: DataFrame, digits: int | None = 2) -> DataFrame:
-    return P.share_by(v, ["room_type"], "total_listings", "pct", digits)
+    return P.share_by(v, ["room_type"], "total_listings", "pct", digits).orderBy(F.desc("total_listings"), "room_type")
 
 
 def listings_price_by_room_type(v: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -80,7 +82,8 @@ def listings_price_by_room_type(v: DataFrame, digits: int | None = 2) -> DataFra
                   maybe_round(F.avg("price"), digits).alias("price_avg"),
                   maybe_round(F.min("price"), digits).alias("price_min"),
                   maybe_round(F.max("price"), digits).alias("price_max"),
-                  maybe_round(F.avg("minimum_nights"), digits).alias("min_nights_avg")))
+                  maybe_round(F.avg("minimum_nights"), digits).alias("min_nights_avg"))
+             .orderBy(F.desc("price_avg"), "room_type"))
 
 
 def listings_neighbourhood_activity(v: DataFrame, min_listings: int = 50, digits: int | None = 2) -> DataFrame:
@@ -91,7 +94,7 @@ def listings_neighbourhood_activity(v: DataFrame, min_listings: int = 50, digits
                maybe_round(F.avg("availability_365"), r1).alias("availability_avg"),
                maybe_round(F.avg("number_of_reviews"), r1).alias("reviews_avg"),
                maybe_round(F.avg("reviews_per_month"), digits).alias("reviews_per_month_avg")))
-    return g.where(F.col("total_listings") >= min_listings)          # HAVING on the alias
+    return g.where(F.col("total_listings") >= min_listings).orderBy(F.desc("price_avg"), "neighbourhood")   # HAVING on the alias
 
 
 def listings_premium_available(v: DataFrame, min_price: float = 400000.0, min_availability: int = 300,
@@ -154,4 +157,5 @@ def listings_host_profile(v: DataFrame, digits: int | None = 2) -> DataFrame:
              .agg(F.count("*").alias("total_listings"), F.count_distinct("host_id").alias("total_hosts"),
                   maybe_round(F.avg("price"), digits).alias("price_avg"),
                   maybe_round(F.avg("availability_365"), r1).alias("availability_avg"),
-                  maybe_round(F.avg("number_of_reviews"), r1).alias("reviews_avg")))
+                  maybe_round(F.avg("number_of_reviews"), r1).alias("reviews_avg"))
+             .orderBy("host_profile"))

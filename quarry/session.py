@@ -30,7 +30,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, so its heap is the memory budget
-        b = b.config("spark.driver.memory", driver_memory or "16g")
+        b = b.config("spark.driver.memory", driver_memory or "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if checkpoint:

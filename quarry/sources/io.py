@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,9 @@ LISTINGS_SCHEMA = T.StructType([
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",",
              nan_value: str = "NaN") -> DataFrame:
     """S1 — CSV scan with a header.  An explicit schema avoids the inference pass (and keeps
-    declared types); ``NaN`` text becomes NULL so NaN never enters as a value."""
+    declared types); ``NaN`` text becomes NULL so NaN never enters as a value.  Fields that do not
+    fit their type become NULL; ask for a ``_corrupt_record string`` column in the schema to see
+    the rows they come from."""
     r = spark.read.option("header", True).option("sep", sep).option("nanValue", nan_value).option("mode", "PERMISSIVE")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     df = r.csv(path)
@@ -50,18 +51,27 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def load_with_fallback(spark: SparkSession, table_name: str | None, paths: Sequence[str],
-                       schema: T.StructType | None = None) -> DataFrame:
-    """S3 — the stored table when it exists, else the first existing file path (parquet or CSV)."""
+                       schema: T.StructType | str | None = None) -> DataFrame:
+    """S3 — the stored table when it exists, else the first existing path, on any file system
+    that Spark reaches: CSV if the file, or a file of the folder, is named so, else parquet."""
     if table_name and spark.catalog.tableExists(table_name):
         return spark.table(table_name)
     for p in paths:
-        if os.path.exists(p) or p.startswith(("s3", "gs://", "hdfs://", "abfs")):
-            if p.endswith(".parquet") or os.path.isdir(p):
-                return spark.read.parquet(p)
-            return read_csv(spark, p, schema)
+        names = _names_at(spark, p)
+        if names is not None:
+            text = any(n.lower().endswith((".csv", ".csv.gz")) for n in names)
+            return read_csv(spark, p, schema) if text else spark.read.parquet(p)
     raise FileNotFoundError(f"no table {table_name!r} and none of {list(paths)} exists")
 
 
+def _names_at(spark: SparkSession, path: str) -> list[str] | None:
+    """File names at a path, by the Hadoop file system that serves it; None if it does not exist."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else None
+
+
 def replace_table(df: DataFrame, target: str, as_table: bool = False, partition_by: Sequence[str] = ()) -> None:
     """S4 — replace-write (overwrite) to a parquet path or a managed table."""
     w = df.write.mode("overwrite")
@@ -74,11 +84,7 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, location:
     """S5 — drop-if-exists, then create an empty table with the declared schema (kept, unlike a
     replace-load that re-derives types)."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    empty = spark.createDataFrame([], schema)
-    w = empty.write.mode("overwrite").format("parquet")
-    if location:
-        w = w.option("path", location)
-    w.saveAsTable(name)
+    spark.catalog.createTable(name, path=location, source="parquet", schema=schema)
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -28,8 +28,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     Join plan: line items are aggregated by order key first (partial + final aggregate, so the
     line-item scan is reduced before any shuffle), then joined to orders.  Customer and the
     per-host count both join on the customer key, so they share one partitioning.  ``nation``
-    is a 25-row dimension and is broadcast explicitly; the other joins are left to the
-    optimizer's size-checked broadcast threshold and AQE.
+    is a 25-row dimension; all joins are left to the optimizer's size-checked broadcast threshold
+    and AQE.
     """
     o = table(spark, sf_dir, "orders",
               ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
@@ -48,7 +48,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (o.join(li, o.o_orderkey == li.l_orderkey, "left")
           .join(c, F.col("o_custkey") == c.c_custkey, "inner")
           .join(hosts, F.col("o_custkey") == hosts._hk, "inner")
-          .join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey, "inner"))
+          .join(n, F.col("c_nationkey") == n.n_nationkey, "inner"))
     idc = F.col("o_orderkey")
     return j.select(
         idc.alias("id"),
@@ -205,12 +205,13 @@ SURVEY_META_SQL = ("SELECT * FROM (VALUES "
                    + ") AS m(variable, description, kind)")
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents LEFT JOIN labels on doc_id (text column pruned)."""
-    d = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars"])
+def docs(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """documents LEFT JOIN labels on doc_id; the text column only if asked for."""
+    text = ["text"] if with_text else []
+    d = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars", *text])
     lab = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     return (d.join(lab, "doc_id", "left")
-             .select("doc_id", "lang", "source", "n_chars",
+             .select("doc_id", "lang", "source", "n_chars", *text,
                      F.col("quality").cast("bigint").alias("quality"),
                      F.col("toxic").cast("bigint").alias("toxic")))
 
@@ -218,6 +219,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS_SQL = ("SELECT d.doc_id, d.lang, d.source, d.n_chars, CAST(l.quality AS BIGINT) AS quality, "
             "CAST(l.toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 
+DOCS_TEXT_SQL = DOCS_SQL.replace("d.n_chars,", "d.n_chars, d.text,")
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event stream table (event_id, ts, user_id, event_type, value); ``props`` pruned."""
@@ -231,6 +234,7 @@ VIEW_SQL = {
     "v_survey": SURVEY_SQL,
     "v_survey_meta": SURVEY_META_SQL,
     "v_docs": DOCS_SQL,
+    "v_docs_text": DOCS_TEXT_SQL,
     "v_events": EVENTS_SQL,
 }
 

@@ -10,10 +10,11 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_docs_profile_never_reads_text(spark):
-    plan = _plan(P.null_profile(V.docs(spark, SF_SMALL)))
-    scans = [ln for ln in plan.splitlines() if "documents.parquet" in ln or "ReadSchema" in ln]
-    assert all("text:" not in ln for ln in scans)
+def test_text_is_read_only_when_profiled(spark):
+    for with_text in (False, True):
+        plan = _plan(P.null_profile(V.docs(spark, SF_SMALL, with_text)))
+        scans = [ln for ln in plan.splitlines() if "documents.parquet" in ln or "ReadSchema" in ln]
+        assert any("text:" in ln for ln in scans) == with_text
 
 
 def test_slice_filter_pushed_to_scan(spark):
