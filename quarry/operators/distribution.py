@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.joins import null_safe_join
 from quarry.session import materialize
-from quarry.operators.ranks import (cumulative_counts, quantiles_from_ranks, rank_table, to_long,
-                                   value_count_table)
+from quarry.operators.ranks import cumulative_counts, quantiles, quantiles_from_ranks, to_long, value_count_table
 
 
 def _stats_join(long: DataFrame, stats: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -55,7 +54,7 @@ def histogram_with_refs(df: DataFrame, cols: Sequence[str], bins: int = 30) -> D
     h = histogram(df, cols, bins)
     long = to_long(df, cols)
     mean = long.groupBy("variable").agg(F.avg("value").alias("mean"))
-    med = quantiles_from_ranks(rank_table(df, cols), [0.5], names=["median"]).select("variable", "median")
+    med = quantiles(df, cols, [0.5], names=["median"]).select("variable", "median")
     refs = mean.join(med, "variable")
     return h.join(F.broadcast(refs), "variable", "left")
 
@@ -64,19 +63,22 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whiske
               notch: bool = True) -> DataFrame:
     """D5/D6 — per variable (and group): n, q1, median, q3, iqr, fences, whiskers (most extreme
     data inside the fences), outlier count, and the notch interval median ± 1.57·IQR/√n.
-    One scan: quartiles, whiskers and outlier counts all come from the value-count table."""
-    vc = materialize(value_count_table(df, cols, by))
-    q = quantiles_from_ranks(cumulative_counts(vc, by), [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
-    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-          .withColumn("fence_lo", F.col("q1") - F.lit(whisker) * F.col("iqr"))
-          .withColumn("fence_hi", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    j = _stats_join(vc, q.select(*by, "variable", "fence_lo", "fence_hi"), [*by, "variable"], by)
-    v = F.col("value")
-    inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
-    w = j.groupBy(*by, "variable").agg(
-        F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_outliers"))
-    out = null_safe_join(q, w, [*by, "variable"])
+    Without groups: ``select_quantiles`` and one wide aggregate against the fences.  By group: one
+    scan, quartiles, whiskers and outlier counts all come from the value-count table."""
+    probs, names = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    if by:
+        vc = materialize(value_count_table(df, cols, by))
+        q = _fences(quantiles_from_ranks(cumulative_counts(vc, by), probs, by, names), whisker)
+        j = null_safe_join(vc, q.select(*by, "variable", "fence_lo", "fence_hi"), [*by, "variable"])
+        v = F.col("value")
+        inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
+        w = j.groupBy(*by, "variable").agg(
+            F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
+            F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_outliers"))
+        out = null_safe_join(q, w, [*by, "variable"])
+    else:
+        q = _fences(_once(quantiles(df, cols, probs, names=names)), whisker)
+        out = q.join(F.broadcast(_against_fences(df, cols, q)), "variable")         # one row a column
     cols_out = [*by, "variable", "n", "q1", "median", "q3", "iqr", "fence_lo", "fence_hi",
                 "whisker_lo", "whisker_hi", "n_outliers"]
     if notch:
@@ -86,24 +88,44 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), whiske
     return out.select(*cols_out)
 
 
+def _once(q: DataFrame) -> DataFrame:
+    """A table of one row a column as literal rows: computed once, however often it is used."""
+    return q.sparkSession.createDataFrame(q.collect(), q.schema)
+
+
+def _fences(q: DataFrame, whisker: float) -> DataFrame:
+    return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
+             .withColumn("fence_lo", F.col("q1") - F.lit(whisker) * F.col("iqr"))
+             .withColumn("fence_hi", F.col("q3") + F.lit(whisker) * F.col("iqr")))
+
+
+def _against_fences(df: DataFrame, cols: Sequence[str], q: DataFrame) -> DataFrame:
+    """``(variable, whisker_lo, whisker_hi, n_outliers, _rows)`` in one wide aggregate against the
+    fences, of which the driver sees one row a column."""
+    fences = {r["variable"]: r for r in q.select("variable", "fence_lo", "fence_hi").collect()}
+    aggs, rows = [F.count("*").alias("_rows")], []
+    for i, c in enumerate(cols):
+        if c not in fences:                                  # all null
+            continue
+        x = F.col(c).cast("double")
+        inside = (x >= F.lit(fences[c]["fence_lo"])) & (x <= F.lit(fences[c]["fence_hi"]))
+        aggs += [F.min(F.when(inside, x)).alias(f"lo{i}"), F.max(F.when(inside, x)).alias(f"hi{i}"), F.count_if(~inside).alias(f"out{i}")]
+        rows.append(F.struct(F.lit(c).alias("variable"), F.col(f"lo{i}").alias("whisker_lo"), F.col(f"hi{i}").alias("whisker_hi"),
+                             F.col(f"out{i}").alias("n_outliers")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "_rows long, variable string, whisker_lo double, whisker_hi double, n_outliers long")
+    return df.agg(*aggs).select("_rows", F.inline(F.array(*rows)))
+
+
 def iqr_outliers(df: DataFrame, cols: Sequence[str], whisker: float = 1.5,
                  denominator: str = "non_null") -> DataFrame:
-    """O1 — per variable: q1, q3, iqr, lower/upper fence, outlier count and % of rows, from one
-    value-count scan.  ``denominator='non_null'`` divides by the non-null count (caller passed
-    ``dropna()`` data); ``'rows'`` divides by all rows (caller passed the raw column)."""
-    vc = materialize(value_count_table(df, cols, keep_nulls=True))
-    q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull())), [0.25, 0.75],
-                             names=["q1", "q3"])
-    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-          .withColumn("lower", F.col("q1") - F.lit(whisker) * F.col("iqr"))
-          .withColumn("upper", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    j = vc.join(F.broadcast(q.select("variable", "lower", "upper")), "variable", "inner")
-    v = F.col("value")
-    c = j.groupBy("variable").agg(
-        F.sum("cnt").alias("_rows"),
-        F.coalesce(F.sum(F.when((v < F.col("lower")) | (v > F.col("upper")), F.col("cnt"))), F.lit(0))
-         .cast("bigint").alias("n_outliers"))
-    out = q.join(c, "variable")
+    """O1 — per variable: q1, q3, iqr, lower/upper fence, outlier count and % of rows: exact
+    quartiles (``select_quantiles``), then one wide aggregate against the fences.
+    ``denominator='non_null'`` divides by the non-null count (caller passed ``dropna()`` data);
+    ``'rows'`` divides by all rows (caller passed the raw column)."""
+    q = _fences(_once(quantiles(df, cols, [0.25, 0.75], names=["q1", "q3"])), whisker)
+    out = (q.join(F.broadcast(_against_fences(df, cols, q)), "variable")            # one row a column
+            .withColumnsRenamed({"fence_lo": "lower", "fence_hi": "upper"}))
     den = F.col("n") if denominator == "non_null" else F.col("_rows")
     return out.select("variable", "n", "q1", "q3", "iqr", "lower", "upper", "n_outliers",
                       (F.col("n_outliers") * F.lit(100.0) / den).alias("pct_outliers"))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.joins import null_safe_join
+from quarry.functions.moments import kurt_sample, skew_sample
 from quarry.functions.output import maybe_round
 from quarry.session import materialize
-from quarry.operators.ranks import cumulative_counts, quantiles_from_ranks, to_long, value_count_table
+from quarry.operators.ranks import cumulative_counts, quantiles_from_ranks, select_quantiles, value_count_table
 
 
 
@@ -204,8 +205,11 @@ def moments_from_counts(vc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kurtosis: bool = True) -> DataFrame:
     """A25 — per variable (and group): n, nulls, null_pct, mean, std, min, q1, median, q3, max,
-    skew (G1), kurtosis (G2).  ONE scan of the input builds the value-count table; moments and
-    exact quantiles (W1) are both derived from it — no per-group value list is materialised."""
+    skew (G1), kurtosis (G2).  Without groups: one wide aggregate and ``select_quantiles``.  By
+    group: one scan builds the value-count table, from which moments and exact quantiles (W1)
+    are derived — no per-group value list is materialised."""
+    if not by:
+        return _describe_columns(df, cols, kurtosis)
     vc = materialize(value_count_table(df, cols, by, keep_nulls=True))
     mom = moments_from_counts(vc, by)
     q = quantiles_from_ranks(cumulative_counts(vc.where(F.col("value").isNotNull()), by),
@@ -218,6 +222,20 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), kurtosi
                       "mean", "std", "min", "q1", "median", "q3", "max", "skew", *extra)
 
 
+def _describe_columns(df: DataFrame, cols: Sequence[str], kurtosis: bool) -> DataFrame:
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": skew_sample}
+    if kurtosis:
+        parts["kurtosis"] = kurt_sample
+    moments = [F.struct(*[f(F.col(c).cast("double")).alias(name) for name, f in parts.items()]).alias(f"_m{i}") for i, c in enumerate(cols)]
+    q, row = select_quantiles(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], [F.count("*").alias("_n"), *moments])
+    long = df.sparkSession.createDataFrame([(row["_n"], c, *row[f"_m{i}"]) for i, c in enumerate(cols)], "_n long, variable string, "
+                                           + ", ".join(f"`{name}` {'long' if name == 'count' else 'double'}" for name in parts))
+    out = long.join(F.broadcast(q.drop("n")), "variable", "left")                     # one row a column
+    return out.select("variable", "count", (F.col("_n") - F.col("count")).alias("nulls"),
+                      F.try_divide((F.col("_n") - F.col("count")) * F.lit(100.0), F.col("_n")).alias("null_pct"),
+                      "mean", "std", "min", "q1", "median", "q3", "max", "skew", *(["kurtosis"] if kurtosis else []))
+
+
 def pivot_mean(df: DataFrame, row_key: str, col_key: str, value: str, values: Sequence | None = None,
                scale: float = 100.0) -> DataFrame:
     """A29 — 2-D pivot of ``avg(value)·scale`` (display form); pass ``values`` to avoid the

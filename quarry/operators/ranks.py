@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.joins import null_safe_join
@@ -123,6 +123,59 @@ def quantiles_from_ranks(rt: DataFrame, probs: Sequence[float], by: Sequence[str
     return g.select(*cols)
 
 
+#: Relative rank error of the sketch that brackets an order statistic, and the margins, as shares
+#: of the rows, of which the narrowest that is safe for the number of rows is used.
+SKETCH_ERROR = 1e-4
+_MARGINS = (8 * SKETCH_ERROR, 0.01, 1.0)
+
+
+def select_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str],
+                     extra: Sequence[Column] = ()) -> tuple[DataFrame, Row]:
+    """Exact type-7 quantiles of whole columns, ``(variable, n, q…)``, without shuffling the data;
+    and the row of ``extra`` aggregates, taken in the same first scan.
+
+    The first scan builds a bounded sketch of each column, which brackets every wanted position
+    with a margin of several times the sketch's error.  Then the rows below each bracket are
+    counted, and the values inside it, under 0.2 % of the rows in a large table (ties are one
+    value); the wanted ones are picked from these.  A position outside its bracket would break the
+    sketch's guarantee and raises an error.  The brackets, one row of numbers, pass through the
+    driver, so the first scan runs when this is called.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    points = [min(1.0, max(0.0, p + side * m)) for p in probs for m in _MARGINS for side in (-1, 1)]
+    array = F.array(*map(F.lit, points))
+    row = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.percentile_approx(x[c], array, F.lit(int(1 / SKETCH_ERROR))).alias("q")).alias(f"_c{i}")
+                   for i, c in enumerate(cols)], *extra).first()
+    spots = []
+    for i, c in enumerate(cols):
+        n, q = row[f"_c{i}"]
+        for j in range(len(probs)) if n else ():
+            m = next(m for m, share in enumerate(_MARGINS) if share >= 4 * SKETCH_ERROR + 2 / n or share == 1.0)
+            lo, hi = q[2 * (len(_MARGINS) * j + m)], q[2 * (len(_MARGINS) * j + m) + 1]
+            spots.append((c, j, n, F.lit(lo), F.lit(hi)))
+    if not spots:
+        return df.sparkSession.createDataFrame([], "variable string, n long, " + ", ".join(f"`{nm}` double" for nm in names)), row
+    below = df.agg(*[F.count_if(x[c] < lo).alias(f"b{k}") for k, (c, _, _, lo, _) in enumerate(spots)])
+    below = below.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(j).alias("j"), F.lit(n).alias("n"),
+                                                     F.lit(float(probs[j])).alias("p"), F.col(f"b{k}").alias("below"))
+                                            for k, (c, j, n, _, _) in enumerate(spots)])))
+    inside = [F.when((x[c] >= lo) & (x[c] <= hi), F.struct(F.lit(c).alias("variable"), F.lit(j).alias("j"), x[c].alias("value")))
+              for c, j, _, lo, hi in spots]
+    counts = (df.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("variable", "j", "value").agg(F.count("*").alias("cnt")))
+    run = Window.partitionBy("variable", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("cnt").over(run)).join(F.broadcast(below), ["variable", "j"])    # one row a column and prob
+    pos = (F.col("n") - 1) * F.col("p")
+    k = F.floor(pos)
+    covers = lambda at: (F.col("below") + F.col("upto") - F.col("cnt") <= at) & (at < F.col("below") + F.col("upto"))
+    g = ranked.groupBy("variable", "j", "n", "p").agg(F.max(F.when(covers(k), F.col("value"))).alias("at"),
+                                                      F.max(F.when(covers(k + 1), F.col("value"))).alias("after"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    low = F.coalesce("at", missed)
+    high = F.when(k + 1 >= F.col("n"), low).otherwise(F.coalesce("after", missed))
+    g = g.withColumn("q", low + (pos - k) * (high - low))
+    return g.groupBy("variable", "n").agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(nm) for j, nm in enumerate(names)]), row
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
               names: Sequence[str] | None = None, buckets: int | None = None,
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
@@ -131,6 +184,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     Exact (linear interpolation) by default.  ``approx=True`` opts into ``percentile_approx``: one
     aggregation with a bounded sketch per group, relative rank error ``1/accuracy``; it returns
     an observed element, not an interpolated value."""
+    if not approx and not by:
+        return select_quantiles(df, cols, probs, list(names or [f"q{int(round(p * 1000)):03d}" for p in probs]))[0]
     if not approx:
         return quantiles_from_ranks(rank_table(df, cols, by, buckets), probs, by, names)
     names = list(names or [f"q{int(round(p * 1000)):03d}" for p in probs])
