@@ -29,69 +29,72 @@ def null_hash(variable: str, key: Column | str, seed: int = 42) -> Column:
 
 
 def injection_cutoffs(df: DataFrame, cols: Sequence[str], key: str, rate: float, seed: int = 42) -> DataFrame:
-    """``(variable, k, cut_h, cut_key)`` — the k-th smallest ``(h, key)`` per variable."""
-    n = df.select(F.count("*")).scalar()
-    k = F.floor(n * F.lit(float(rate))).cast("bigint")
-    structs = [F.struct(F.lit(c).alias("variable"), null_hash(c, key, seed).alias("h")) for c in cols]
-    long = df.select(F.col(key).alias("_key"), F.inline(F.array(*structs)))
-    b = F.shiftrightunsigned(F.col("h"), _BUCKET_SHIFT)
-    counts = long.groupBy("variable", b.alias("b")).agg(F.count("*").alias("cnt"))
-    w = Window.partitionBy("variable").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("before", F.sum("cnt").over(w) - F.col("cnt")).withColumn("k", k)
-    pick = counts.where((F.col("before") <= F.col("k") - 1) & (F.col("k") - 1 < F.col("before") + F.col("cnt")))
-    # one row per variable: bounded by the column list, broadcast
-    sel = pick.select(F.col("variable").alias("_pv"), F.col("b").alias("_pb"), "before", "k")
-    cand = long.join(F.broadcast(sel), (F.col("variable") == F.col("_pv")) & (b == F.col("_pb")), "inner") \
-               .select("variable", "h", "_key", "before", "k")
-    pos = Window.partitionBy("variable").orderBy("h", "_key")
-    cand = cand.withColumn("_pos", F.row_number().over(pos) - 1 + F.col("before"))
-    return cand.where(F.col("_pos") == F.col("k") - 1).select(
-        "variable", "k", F.col("h").alias("cut_h"), F.col("_key").alias("cut_key"))
+    """``(variable, k, cut_h, cut_key)`` — the k-th smallest ``(h, key)`` per variable.
+
+    Two scans of the key: counts per bucket, whose sum is also the number of rows, then the one
+    bucket of each variable that holds the cut.  One row per variable passes through the driver.
+    """
+    hashes = {c: null_hash(c, key, seed) for c in cols}
+    bucket = lambda c: F.shiftrightunsigned(hashes[c], _BUCKET_SHIFT)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), bucket(c).alias("b")) for c in cols])))
+    w = Window.partitionBy("variable")
+    upto = w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = long.groupBy("variable", "b").agg(F.count("*").alias("cnt")).select(
+        "variable", "b", (F.sum("cnt").over(upto) - F.col("cnt")).alias("before"), F.sum("cnt").over(upto).alias("upto"),
+        F.floor(F.sum("cnt").over(w) * F.lit(float(rate))).cast("bigint").alias("k"))
+    held = counts.where((F.col("before") <= F.col("k") - 1) & (F.col("k") - 1 < F.col("upto"))).collect()
+    inside = [F.when(bucket(r["variable"]) == r["b"], F.struct(
+        F.lit(r["variable"]).alias("variable"), F.lit(r["k"]).alias("k"), F.lit(r["before"]).alias("before"),
+        hashes[r["variable"]].alias("h"), F.col(key).alias("_key"))) for r in held]
+    key_type = df.schema[key].dataType.simpleString()
+    if not inside:                                          # no rows, or a rate too small for one
+        return df.sparkSession.createDataFrame([], f"variable string, k long, cut_h long, cut_key {key_type}")
+    cand = df.select(F.inline(F.array_compact(F.array(*inside))))
+    pos = F.row_number().over(Window.partitionBy("variable").orderBy("h", "_key"))
+    return (cand.withColumn("_pos", pos + F.col("before")).where("_pos = k")
+                .select("variable", "k", F.col("h").alias("cut_h"), F.col("_key").alias("cut_key")))
 
 
 def inject_nulls(df: DataFrame, cols: Sequence[str], key: str, rate: float = 0.05, seed: int = 42) -> DataFrame:
     """M1 — null exactly ``floor(N · rate)`` values of each column (independently per column,
-    deterministic in ``seed`` and ``key``); rows already null stay null."""
-    cuts = injection_cutoffs(df, cols, key, rate, seed)
-    # ONE scalar subquery for all columns: a map variable → (cut_h, cut_key), one entry per column
-    cut_map = cuts.agg(F.map_from_entries(F.collect_list(
-        F.struct("variable", F.struct("cut_h", "cut_key"))))).scalar()
-    out = df
-    for c in cols:
-        cut = F.element_at(cut_map, F.lit(c))
-        mine = F.struct(null_hash(c, key, seed).alias("cut_h"), F.col(key).alias("cut_key"))
-        hit = F.coalesce(mine <= cut, F.lit(False))
-        out = out.withColumn(c, F.when(hit, F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c)))
-    return out
-
-
-def _mode_scalar(df: DataFrame, col: str) -> Column:
-    """Most frequent non-null value; ties → smallest value.  Value counts are aggregated in a
-    shuffle, then a top-1 (TakeOrdered) — never a per-value map inside one task."""
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_c"))
-    return vc.orderBy(F.col("_c").desc(), F.col(col)).limit(1).select(col).scalar()
+    deterministic in ``seed`` and ``key``); rows already null stay null.  The cut-offs, one row a
+    column, are found when this is called."""
+    cuts = {r["variable"]: r for r in injection_cutoffs(df, cols, key, rate, seed).collect()}
+    out = {}
+    for c, cut in cuts.items():
+        mine = F.struct(null_hash(c, key, seed).alias("h"), F.col(key).alias("key"))
+        at = F.struct(F.lit(cut["cut_h"]).alias("h"), F.lit(cut["cut_key"]).cast(df.schema[key].dataType).alias("key"))
+        out[c] = F.when(F.coalesce(mine <= at, F.lit(False)), F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c))
+    return df.withColumns(out) if out else df
+
+
+def _modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent non-null value of every column; ties → smallest value.  One pass per data
+    type: values are counted in a shuffle, then the best of each column is one aggregate."""
+    found = {}
+    for kind in {df.schema[c].dataType.simpleString() for c in cols}:
+        own = [c for c in cols if df.schema[c].dataType.simpleString() == kind]
+        counts = (df.select(*own).unpivot([], own, "variable", "value").where(F.col("value").isNotNull())
+                    .groupBy("variable", "value").agg(F.count("*").alias("n")))
+        top = counts.groupBy("variable").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("m"))
+        found |= {r["variable"]: r["m"] for r in top.collect()}                  # one row a column
+    return found
 
 
 def impute(df: DataFrame, cols: Sequence[str], strategy: str = "median") -> DataFrame:
     """M2/M3/M4 — fill nulls with the column's mean, exact median (both make the column DOUBLE)
-    or most frequent value (type kept); the fill is a scalar subquery, evaluated once, and
-    non-null values are never changed."""
+    or most frequent value (type kept); non-null values are never changed, a column without
+    values stays null.  The fills, one value a column, are found when this is called."""
     if strategy == "mean":
-        fills = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+        fills = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     elif strategy == "median":
-        q = quantiles(df, cols, [0.5], names=["m"])
-        fills = q.agg(F.map_from_entries(F.collect_list(F.struct("variable", "m")))).scalar()
-    elif strategy not in ("mode", "most_frequent"):
+        fills = {r["variable"]: r["m"] for r in quantiles(df, cols, [0.5], names=["m"]).collect()}
+    elif strategy in ("mode", "most_frequent"):
+        fills = _modes(df, cols)
+    else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    out = df
-    for c in cols:
-        if strategy == "mean":              # a mean or median is fractional: column → double
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), fills.getField(c)))
-        elif strategy == "median":
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.element_at(fills, F.lit(c))))
-        else:
-            out = out.withColumn(c, F.coalesce(F.col(c), _mode_scalar(df, c).cast(df.schema[c].dataType)))
-    return out
+    kind = {c: "double" if strategy in ("mean", "median") else df.schema[c].dataType for c in cols}
+    return df.withColumns({c: F.coalesce(F.col(c).cast(kind[c]), F.lit(fills.get(c)).cast(kind[c])) for c in cols})
 
 
 def compare_imputations(frames: Sequence[tuple[str, DataFrame]], cols: Sequence[str]) -> DataFrame:
