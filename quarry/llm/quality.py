@@ -159,8 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5
     id_type = dict(docs.dtypes)["doc_id"]
     got = (labelled_sample(docs, labels, label, mod, held, rows).mapInArrow(_sample_terms, f"doc_id {id_type}, y double, terms array<long>, counts array<double>")
            .orderBy("doc_id").toArrow())
-    samples = [(np.array(t, np.int64), np.array(c)) for t, c in zip(got["terms"].to_pylist(), got["counts"].to_pylist())]
-    return LatentNeighbours(samples, np.array(got["y"].to_pylist(), float))
+    terms, counts = got["terms"].combine_chunks(), got["counts"].combine_chunks()
+    at, term, count = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
+    samples = [(term[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:])]
+    return LatentNeighbours(samples, got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: LatentNeighbours, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
