@@ -25,6 +25,8 @@ WORDS = 3
 SHARE = (90, 100)
 #: Members of a bucket that one task compares at once with as many others.
 TILE_ROWS = 512
+#: The ids of sets that share a bucket are broadcast up to this number (about 20 bytes each), else shuffled.
+BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -131,14 +133,27 @@ def may_link(bits: list[bytes], sizes: np.ndarray, other: list[bytes], other_siz
         yield i, share[1] * most >= share[0] * (total - most)
 
 
+def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Two 64-bit sums over the hashes of each set: equal sets have equal ones."""
+    return [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for f in (_mix, lambda s: _mix(s * _M1 + _M2))]
+
+
 def _signatures(words: int, share: tuple[int, int]):
+    """Size, prints and buckets of each row's set; of equal sets in a task only one has buckets,
+    and rows without an id have none."""
     def run(batches):
+        seen: set[tuple[int, int]] = set()
+        none = np.zeros(0, np.uint64)
         for part, texts in text_batches(batches, ["text"]):
             sets = [shingle_set(t, words) for t in texts]
-            keys = [bucket_keys(s, share) for s in sets]
+            sums = _prints(sets)
+            keys = []
+            for i, x, y, s in zip(part.column("id").to_pylist(), sums[0].tolist(), sums[1].tolist(), sets):
+                new = i is not None and (x, y) not in seen
+                if new:
+                    seen.add((x, y))
+                keys.append(bucket_keys(s, share) if new else none)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            sums = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                    for f in (_mix, lambda s: _mix(s * _M1 + _M2))]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))],
@@ -151,9 +166,7 @@ def _sets(words: int):
         for part, texts in text_batches(batches, ["text"]):
             sets = [shingle_set(t, words) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), *(pa.array(np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
-                                      for f in (_mix, lambda s: _mix(s * _M1 + _M2))),
-                 pa.array([len(s) for s in sets], pa.int64()),
+                [part.column("id"), *map(pa.array, _prints(sets)), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["id", "f1", "f2", "n", "bits", "elements"])
     return run
@@ -235,7 +248,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     buckets is not in its component yet.  So groups of near copies cost about a row per bucket and
     member; every link between different sets either is found or joins sets already connected.
 
-    Sets are compared by 64-bit hashes of their n-grams, classes by 128 bits.  Null and empty texts
+    Sets are compared by 64-bit hashes of their n-grams, classes by 128 bits (buckets by 64).  Null and empty texts
     and texts without words: size 0, linked with nothing.  Whole texts are read.  Rows repeating an
     id are one document: that with the smallest set.  Rows without an id are one row, with null
     component_id.  Ids must be integers.  An empty table gives an empty one; columns but the id
@@ -244,17 +257,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stage(rows.mapInArrow(_signatures(words, share), "id long, n long, f1 long, f2 long, keys array<long>"), "join-signed")
     ids = signed.groupBy("id").agg(F.min(F.struct("n", "f1", "f2")).alias("s")).select("id", "s.*")
-    classes = ids.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    ids = stage(ids.join(classes, ["n", "f1", "f2"], "left"), "join-ids")
-    lead = F.col("class") == F.col("id")
-    other = ids.where(~lead & F.col("class").isNotNull()).select(F.col("id").alias("copy"))
-    leaders = signed.where("n > 0 and id is not null").join(other, F.col("id") == F.col("copy"), "left_anti")
+    named = F.col("id").isNotNull() & (F.col("n") > 0)
+    shared = (ids.where(named).groupBy("n", "f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+              .where("copies > 1").drop("copies"))
+    ids = ids.join(stage(shared, "join-copies"), ["n", "f1", "f2"], "left")
+    ids = stage(ids.withColumn("class", F.when(named, F.coalesce("first", "id"))).drop("first"), "join-ids")
     per_key = Window.partitionBy("key")
-    buckets = (leaders.select("id", F.explode("keys").alias("key")).withColumns({"low": F.min("id").over(per_key), "high": F.max("id").over(per_key)})
-               .where("low <> high").select("key", "id", "low"))
-    buckets = stage(buckets, "join-buckets")
-    wanted = buckets.select(F.col("id").alias("want")).distinct().join(ids.withColumnRenamed("id", "want"), "want").select("want", "f1", "f2")
-    sets = (rows.join(wanted.select("want"), F.col("id") == F.col("want"), "left_semi")
+    keyed = signed.select("f1", F.explode("keys").alias("key")).withColumns({"low": F.min("f1").over(per_key), "high": F.max("f1").over(per_key)})
+    keyed = stage(keyed.where("low <> high").select("key", "f1").distinct(), "join-keys")
+    classes = ids.where(F.col("class") == F.col("id"))
+    buckets = keyed.join(classes.select("f1", "id"), "f1").select("key", "id")
+    buckets = stage(buckets.withColumn("low", F.min("id").over(per_key)), "join-buckets")
+    wanted = stage(classes.join(buckets.select("id"), "id", "left_semi").select(F.col("id").alias("want"), "f1", "f2"), "join-wanted")
+    listed = wanted.select("want")
+    if wanted.count() <= BROADCAST_IDS:
+        listed = F.broadcast(listed)
+    sets = (rows.join(listed, F.col("id") == F.col("want"), "left_semi")
             .mapInArrow(_sets(words), "id long, f1 long, f2 long, n long, bits binary, elements binary"))
     sets = stage(sets.join(wanted.withColumnRenamed("want", "id"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"]), "join-sets")
 
