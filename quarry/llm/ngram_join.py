@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import connected_components, runs, stage, text_batches
+from quarry.llm.common import connected_components, runs, small_batches, stage, text_batches
 
 WORDS = 3
 #: Two sets link when SHARE[1] * |intersection| >= SHARE[0] * |union|.
@@ -117,12 +117,18 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _folded(bits: bytes, words: int) -> np.ndarray:
+    """The bitmap of a smaller width: its halves combined until it has so many 64-bit words."""
     x = np.frombuffer(bits, np.uint64)
     while len(x) > words:
         x = x[:len(x) // 2] ^ x[len(x) // 2:]
     return x
 
 
+def _short(bits: bytes) -> bytes:
+    """A quarter of the bitmap's width, for the first look at many sets; the bound holds for any width."""
+    return _folded(bits, len(bits) // 32).tobytes()
+
+
 def may_link(bits: list[bytes], sizes: np.ndarray, other: list[bytes], other_sizes: np.ndarray, share: tuple[int, int] = SHARE):
     """Yields (row, mask over the others): where the bound from bitmaps and sizes allows a link."""
     words = min(map(len, [*bits, *other])) // 8
@@ -165,10 +171,11 @@ def _sets(words: int):
     def run(batches):
         for part, texts in text_batches(batches, ["text"]):
             sets = [shingle_set(t, words) for t in texts]
+            bits = [bitmap(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), *map(pa.array, _prints(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "f1", "f2", "n", "bits", "elements"])
+                [part.column("id"), *map(pa.array, _prints(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()),
+                 pa.array([_short(b) for b in bits], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "f1", "f2", "n", "bits", "short", "elements"])
     return run
 
 
@@ -203,7 +210,7 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
     buckets: (key, id); part: (v, root), the components so far.  A bucket whose members are all in
     one component is done; of buckets with the same members one is looked at.  Its members, in
     the order of their components, are cut into tiles of ``rows``, and every two tiles that are not
-    wholly of one component are compared in a task of their own.
+    wholly of one component are compared in a task of their own, by their short bitmaps.
     """
     placed = buckets.join(part, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = stage(placed, "join-open")
@@ -217,8 +224,8 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
     one, two = tiles.toDF("key", "one", "low1", "high1"), tiles.toDF("key", "two", "low2", "high2")
     blocks = one.join(two, "key").where("one <= two and not (low1 = high1 and low2 = high2 and low1 = low2)").select("key", "one", "two")
     blocks = blocks.withColumn("tile", F.explode(F.array_distinct(F.array("one", "two"))))
-    member = blocks.join(tiled, ["key", "tile"]).join(sets.select("id", "n", "bits"), "id")
-    dealt = (member.select("key", "one", "two", "tile", "id", "root", "n", "bits").repartition("key", "one", "two")
+    member = blocks.join(tiled, ["key", "tile"]).join(sets.select("id", "n", "short"), "id")
+    dealt = (member.select("key", "one", "two", "tile", "id", "root", "n", "short").repartition("key", "one", "two")
              .sortWithinPartitions("key", "one", "two", "tile"))
 
     def compare(batches):
@@ -254,6 +261,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     component_id.  Ids must be integers.  An empty table gives an empty one; columns but the id
     and the text are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stage(rows.mapInArrow(_signatures(words, share), "id long, n long, f1 long, f2 long, keys array<long>"), "join-signed")
     ids = signed.groupBy("id").agg(F.min(F.struct("n", "f1", "f2")).alias("s")).select("id", "s.*")
@@ -273,7 +281,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     if wanted.count() <= BROADCAST_IDS:
         listed = F.broadcast(listed)
     sets = (rows.join(listed, F.col("id") == F.col("want"), "left_semi")
-            .mapInArrow(_sets(words), "id long, f1 long, f2 long, n long, bits binary, elements binary"))
+            .mapInArrow(_sets(words), "id long, f1 long, f2 long, n long, bits binary, short binary, elements binary"))
     sets = stage(sets.join(wanted.withColumnRenamed("want", "id"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"]), "join-sets")
 
     stars = stage(buckets.where("id <> low").groupBy(F.col("low").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "join-stars")

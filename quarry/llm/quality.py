@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, labelled_sample, text_batches
+from quarry.llm.common import crc_mod, labelled_sample, small_batches, text_batches
 
 FORM_TERMS = 1 << 12
 WORD_TERMS = 1 << 12
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: LatentNeighbours, text: str = "text", threshol
 
 def scorer(docs: DataFrame, model: LatentNeighbours):
     """The score as a function of a text column."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
