@@ -27,6 +27,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more: what came from it is staged itself."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Spark hand Python at most ``rows`` rows at a time, for the rest of the session: rows of
     long texts and arrays would else fill a worker's memory, and workers keep what they once had."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import connected_components, runs, small_batches, stage, text_batches
+from quarry.llm.common import connected_components, runs, small_batches, stage, text_batches, unstage
 
 WORDS = 3
 #: Two sets link when SHARE[1] * |intersection| >= SHARE[0] * |union|.
@@ -273,6 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     per_key = Window.partitionBy("key")
     keyed = signed.select("f1", F.explode("keys").alias("key")).withColumns({"low": F.min("f1").over(per_key), "high": F.max("f1").over(per_key)})
     keyed = stage(keyed.where("low <> high").select("key", "f1").distinct(), "join-keys")
+    unstage(signed)
     classes = ids.where(F.col("class") == F.col("id"))
     buckets = keyed.join(classes.select("f1", "id"), "f1").select("key", "id")
     buckets = stage(buckets.withColumn("low", F.min("id").over(per_key)), "join-buckets")
