@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quarry.session import checkpoint_dir
 
 
+#: The minima of so many links (at most two rows of 16 bytes a link) may be broadcast.
+BROADCAST_LINKS = 500_000
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the folder that the cluster shares (``spark.checkpoint.dir``)."""
     return os.path.join(checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
@@ -65,12 +69,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     work = stage(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     before = _mark(work)
+    hint = F.broadcast if before[0] <= BROADCAST_LINKS else lambda df: df
     while before[0]:
         both = work.unionByName(work.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = work.join(low, F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).distinct()
+        large = work.join(hint(low), F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).distinct()
         small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        hung = large.join(small, F.col("a") == F.col("u"))
+        hung = large.join(hint(small), F.col("a") == F.col("u"))
         work = stage(hung.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                      .unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "links")
         after = _mark(work)

@@ -288,13 +288,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     stars = stage(buckets.where("id <> low").groupBy(F.col("low").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "join-stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = stage(_linked(best, sets, share), "join-links")
+    near = links.select(F.col("b").alias("v"), F.col("a").alias("root"))        # one link each: enough to skip pairs of one star
+    rest = _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), near)
+    links = links.unionByName(stage(_linked(rest, sets, share), "join-links"))
     part = connected_components(links)
-    for pairs in (lambda: _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), part),
-                  lambda: _tile_pairs(buckets.select("key", "id"), part, sets, share, tile_rows)):
-        more = stage(_linked(pairs(), sets, share), "join-links")
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            part = connected_components(links)
+    more = stage(_linked(_tile_pairs(buckets.select("key", "id"), part, sets, share, tile_rows), sets, share), "join-links")
+    if not more.isEmpty():
+        part = connected_components(links.unionByName(more))
     found = ids.join(part, F.col("class") == F.col("v"), "left")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "class", "id").alias("component_id"))
 
