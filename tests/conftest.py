@@ -15,6 +15,3 @@ def spark():
                       checkpoint=tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle import compare, duck
-from conftest import SF_SMALL
+from oracle import SF_SMALL
 
 _SQL = E.oracle_sql()
 

@@ -5,7 +5,7 @@ import pytest
 from quarry.operators import regression as RG
 from quarry.plans import named as N
 from quarry.sources import views as V
-from conftest import SF_SMALL
+from oracle import SF_SMALL
 
 
 def test_report_orders(spark):

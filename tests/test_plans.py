@@ -3,7 +3,7 @@ from quarry.operators import filters as FL
 from quarry.operators import profile as P
 from quarry.sources import tables as TB
 from quarry.sources import views as V
-from conftest import SF_SMALL
+from oracle import SF_SMALL
 
 
 def _plan(df) -> str:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources import io as IO
 from quarry.streaming import file_stream, grouped_rate_stream
-from conftest import SF_SMALL
+from oracle import SF_SMALL
 
 
 def test_csv_roundtrip_with_schema_and_nan(spark, tmp_path):
