@@ -99,11 +99,17 @@ class LatentNeighbours:
         for at, _ in samples:
             seen[at] += 1
         self.idf = np.log((1 + len(samples)) / (1 + seen)) + 0.05
-        rows = np.zeros((len(samples), TERMS), np.float32)
-        for i, x in enumerate(samples):
-            self._weigh(rows[i], x)
-        self.axes = _top_axes(rows, min(rank, len(samples), TERMS))
-        self.vectors = _unit(rows @ self.axes)
+        self.axes = _top_axes(lambda: self._blocks(samples), min(rank, len(samples), TERMS))
+        self.vectors = np.concatenate([_unit(rows @ self.axes) for rows in self._blocks(samples)])
+
+    def _blocks(self, samples: list[tuple[np.ndarray, np.ndarray]], size: int = 256):
+        """The weighted term rows, so many at a time."""
+        for start in range(0, len(samples), size):
+            some = samples[start:start + size]
+            rows = np.zeros((len(some), TERMS), np.float32)
+            for row, x in zip(rows, some):
+                self._weigh(row, x)
+            yield rows
 
     def _weigh(self, row: np.ndarray, sample: tuple[np.ndarray, np.ndarray]) -> None:
         at, value = sample
@@ -137,12 +143,12 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _top_axes(rows: np.ndarray, rank: int) -> np.ndarray:
-    """Leading right singular vectors by randomised subspace iteration."""
-    basis = np.random.default_rng(0).standard_normal((rows.shape[1], rank + 16)).astype(np.float32)
+def _top_axes(blocks, rank: int) -> np.ndarray:
+    """Leading right singular vectors of the stacked blocks by randomised subspace iteration."""
+    basis = np.random.default_rng(0).standard_normal((TERMS, rank + 16)).astype(np.float32)
     for _ in range(4):
-        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
-    _, _, v = np.linalg.svd(rows @ basis, full_matrices=False)
+        basis = np.linalg.qr(sum(rows.T @ (rows @ basis) for rows in blocks()))[0]
+    _, _, v = np.linalg.svd(np.concatenate([rows @ basis for rows in blocks()]), full_matrices=False)
     return np.ascontiguousarray((basis @ v.T)[:, :rank])
 
 
@@ -162,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5
     terms, counts = got["terms"].combine_chunks(), got["counts"].combine_chunks()
     at, term, count = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
     samples = [(term[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:])]
-    return LatentNeighbours(samples, got["y"].to_numpy())
+    model = LatentNeighbours(samples, got["y"].to_numpy())
+    del got, terms, counts, term, count, samples
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: LatentNeighbours, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
