@@ -5,14 +5,18 @@ Only DataFrame functions: every step is a scan, a join or a higher-order array f
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stage
 
-#: Seeds span eight tokens; a 0 is a position whose token is ignored.
-MASKS = ("11101101", "11011011", "10110111", "11100111")
-STRIDE = 4
+#: Seeds: a 0 is a place whose token is ignored.  Whichever two of 13 tokens differ, one of the
+#: first list fits between them; whichever two of ten, one of the second.
+MASKS = ("11010111", "111001011")
+SHORT_MASKS = ("110111", "1101011", "1100111")
 WINDOW = 13
 SHARE = 0.8
 #: Seed tables up to this many rows (about 40 bytes each) are broadcast; larger ones are shuffled.
@@ -25,55 +29,82 @@ def tokens(text: str) -> Column:
     return F.coalesce(F.filter(words, lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def _seeds(df: DataFrame, id_col: str, toks: str, masks: tuple[str, ...], stride: int) -> DataFrame:
-    """(id, pos, h): the hash of every mask at every ``stride``-th start position."""
-    span = len(masks[0])
-    hashed = df.select(id_col, F.transform(toks, lambda x: F.xxhash64(x)).alias("th")).where(F.size("th") >= span)
+def covers(masks: tuple[str, ...], size: int, miss: int) -> bool:
+    """Whether some mask fits in ``size`` places wherever ``miss`` of them differ."""
+    read = [{o + i for i, bit in enumerate(m) if bit == "1"} for m in masks for o in range(size - len(m) + 1)]
+    return all(any(r.isdisjoint(c) for r in read) for c in combinations(range(size), miss))
+
+
+def masks_for(size: int, miss: int, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """Masks that find every window of ``size`` tokens of which ``miss`` differ: the first given
+    list that covers all cases, else every way to leave out ``miss`` places, else (for too many
+    of those) the run that must stay whole between the differing tokens."""
+    ways = comb(size, miss)
+    for some in (masks, SHORT_MASKS) if ways <= 10_000 else ():
+        if covers(some, size, miss):
+            return tuple(some)
+    if ways <= 9:
+        return tuple(sorted({"".join("0" if i in c else "1" for i in range(size)).strip("0") for c in combinations(range(size), miss)}))
+    return ("1" * max(1, ceil((size - miss) / (miss + 1))),)
+
+
+def _seeds(df: DataFrame, id_col: str, toks: str, masks: tuple[str, ...], where=None) -> DataFrame:
+    """(id, pos, h): the hash of every mask at every position, or null where ``where(k, pos)`` is
+    false.  Nothing is inferred from an outer explode that would hash the texts once more."""
+    hashed = df.select(id_col, F.transform(toks, lambda x: F.xxhash64(x)).alias("th"))
 
     def at(start):
-        return [F.struct(start.alias("pos"), F.xxhash64(F.lit(k), *(F.get("th", start + o) for o, bit in enumerate(m) if bit == "1")).alias("h"))
-                for k, m in enumerate(masks)]
+        h = [F.xxhash64(F.lit(k), *(F.get("th", start + o) for o, bit in enumerate(m) if bit == "1")) for k, m in enumerate(masks)]
+        return F.array(*(F.when(where(k, start), x) if where else x for k, x in enumerate(h)))
 
-    starts = F.sequence(F.lit(0), F.size("th") - span, F.lit(stride))
-    return (hashed.select(id_col, F.explode(F.transform(starts, lambda i: F.array(*at(i)))).alias("s"))
-            .select(id_col, F.inline("s")))
+    starts = F.when(F.size("th") > 0, F.sequence(F.lit(0), F.size("th") - 1))
+    return (hashed.select(id_col, F.posexplode_outer(F.transform(starts, at)).alias("pos", "s"))
+            .select(id_col, "pos", F.explode("s").alias("h")).where(F.col("h").isNotNull()))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
                       item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
-                      stride: int = STRIDE, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+                      window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row per document and benchmark item with a shared passage.
 
     Columns: id, item, n_match (most equal tokens in one window), n_window, item_tokens.
 
-    Seeds are taken at every position of an item and at every ``stride``-th of a document, so any
-    common run of span + stride - 1 tokens has a common seed, and tokens may differ where a mask
-    has a 0.  A seed hit fixes how item and document line up.  The alignment counts if some window
-    of ``window`` tokens (the whole item if it is shorter) has equal tokens in ``share`` of its
-    places or more, so substituted words do not hide a passage.
+    Seeds are taken at every position of items and documents, by masks that leave no case out: for
+    each size of window that the items have, some mask fits between the tokens that may differ,
+    wherever they are.  A seed hit fixes how item and document line up.  The alignment counts if
+    some window of ``window`` tokens (the whole item if it is shorter) has equal tokens in
+    ``share`` of its places or more, so substituted words do not hide a passage.
 
     Only hits are shuffled, once per document, item and alignment; a passage in a third of all
     documents costs a row for each.  Nothing pairs documents with each other.
 
-    Null, empty or short texts (under a span of tokens) match nothing; so do items with under
-    span + stride - 1 tokens, too short for a sure seed.  Repeated rows give one result row, null
-    ids one under null.  Empty tables give an empty result.  Other columns are ignored.
+    Null, empty or short texts match nothing; so do items with under 11 tokens.
+    Repeated rows give one result row, null ids one under null.  Empty tables give an empty
+    result.  Other columns are ignored.
     """
-    span = len(masks[0])
     items = benchmark.select(F.col(item_col).alias("item"), tokens(item_text).alias("itok")).distinct()
-    items = stage(items.where(F.size("itok") >= span + stride - 1), "decontam-items")
-    want = stage(_seeds(items, "item", "itok", masks, 1).select("item", F.col("pos").alias("ipos"), "h").distinct(), "decontam-seeds")
+    items = stage(items.where(F.size("itok") >= 11), "decontam-items")
+    size = F.least(F.lit(window), F.size("itok"))
+    sizes: dict[str, list[int]] = {}                                    # of windows, by the masks that they need
+    for (n,) in items.select(size).distinct().collect():                # at most ``window`` rows
+        for mask in masks_for(n, n - ceil(float(share) * n), masks):
+            sizes.setdefault(mask, []).append(n)
+    used = tuple(sorted(sizes)) or masks
+
+    def needed(k, start):
+        return F.least(F.lit(window), F.size("th")).isin(sizes.get(used[k], [])) & (start + len(used[k]) <= F.size("th"))
+
+    want = stage(_seeds(items, "item", "itok", used, needed).select("item", F.col("pos").alias("ipos"), "h").distinct(), "decontam-seeds")
     if want.count() <= BROADCAST_ROWS:
         want = F.broadcast(want)
     doc_tokens = docs.select(F.col(id_col).alias("doc"), tokens(text).alias("tok"))
-    hits = stage(_seeds(doc_tokens, "doc", "tok", masks, stride).join(want, "h")
+    hits = stage(_seeds(doc_tokens, "doc", "tok", used).join(want, "h")
                  .select("doc", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct(), "decontam-hits")
     found = hits.select(F.col("doc").alias("hit")).distinct()
     near = doc_tokens.join(found, F.col("doc").eqNullSafe(F.col("hit")), "left_semi")
     lined = (hits.select(F.col("doc").alias("hit"), F.col("item").alias("hit_item"), "shift")
              .join(items, F.col("hit_item").eqNullSafe(F.col("item")))
              .join(near, F.col("doc").eqNullSafe(F.col("hit"))))
-    size = F.least(F.lit(window), F.size("itok"))
     same = F.transform("itok", lambda x, p: F.coalesce(F.get("tok", F.col("shift") + p) == x, F.lit(False)))
     windows = (lined.select("hit", "hit_item", F.size("itok").alias("item_tokens"), size.alias("n_window"), same.alias("same"),
                             F.explode(F.sequence(F.lit(1), F.size("itok") - size + 1)).alias("start"))

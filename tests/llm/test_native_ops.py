@@ -83,6 +83,51 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert all(got[k] == want[k] for k in got)
 
 
+def every_match(docs, items):
+    """As brute, but for items of every length."""
+    found = {}
+    for d, text in docs:
+        a = tokens(text)
+        for k, item in items:
+            b = tokens(item)
+            size = min(13, len(b))
+            best = 0
+            for shift in range(-len(b), len(a)):
+                same = [0 <= shift + p < len(a) and a[shift + p] == x for p, x in enumerate(b)]
+                best = max([best, *(sum(same[s:s + size]) for s in range(len(b) - size + 1))])
+            if best >= -(-8 * size // 10):
+                found[d, k] = best
+    return found
+
+
+def test_masks_leave_no_substitution_out():
+    for n in range(1, 14):
+        miss = n - -(-8 * n // 10)
+        assert decontam.covers(decontam.masks_for(n, miss), n, miss), n
+    assert decontam.masks_for(50, 25) == ("1",)
+
+
+def test_decontamination_finds_every_substitution_and_short_items(spark, docs):
+    """Passages of 1 to 18 tokens with up to three substitutions, at all offsets, whole or cut at an end of the document."""
+    r = random.Random(7)
+    items = [(n, " ".join(f"i{n}x{p}" for p in range(n))) for n in (*range(11, 19), 30)]
+    rows = []
+    for n, text in items:
+        for k in range(0, 4):
+            for _ in range(12):
+                part = text.split()
+                for p in r.sample(range(n), min(k, n)):
+                    part[p] = "other"
+                lead = [f"d{r.randrange(400)}" for _ in range(r.randrange(9))]
+                cut = r.choice((0, 0, 1, 2))
+                body = part[cut:] if cut else lead + part
+                rows.append((len(rows), " ".join(body + ["end"] * r.randrange(3))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(g.doc_id, g.item_id): g.n_match for g in decontam.find_contaminated(docs(rows), bench).collect()}
+    want = every_match(rows, items)
+    assert {k for _, k in want} == {n for n, _ in items} and got == want
+
+
 def test_decontamination_without_broadcast(spark, docs, monkeypatch):
     item = " ".join(f"t{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
