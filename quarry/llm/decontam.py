@@ -78,12 +78,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Only hits are shuffled, once per document, item and alignment; a passage in a third of all
     documents costs a row for each.  Nothing pairs documents with each other.
 
-    Null, empty or short texts match nothing; so do items with under 11 tokens.
+    Null or empty texts match nothing.  Short items count by the same share: one of under five
+    tokens stands in a document as it is, and one of a single word in every document with it.
     Repeated rows give one result row, null ids one under null.  Empty tables give an empty
     result.  Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), tokens(item_text).alias("itok")).distinct()
-    items = stage(items.where(F.size("itok") >= 11), "decontam-items")
+    items = stage(items.where(F.size("itok") > 0), "decontam-items")
     size = F.least(F.lit(window), F.size("itok"))
     sizes: dict[str, list[int]] = {}                                    # of windows, by the masks that they need
     for (n,) in items.select(size).distinct().collect():                # at most ``window`` rows

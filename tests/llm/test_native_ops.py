@@ -110,7 +110,7 @@ def test_masks_leave_no_substitution_out():
 def test_decontamination_finds_every_substitution_and_short_items(spark, docs):
     """Passages of 1 to 18 tokens with up to three substitutions, at all offsets, whole or cut at an end of the document."""
     r = random.Random(7)
-    items = [(n, " ".join(f"i{n}x{p}" for p in range(n))) for n in (*range(11, 19), 30)]
+    items = [(n, " ".join(f"i{n}x{p}" for p in range(n))) for n in (*range(1, 19), 30)]
     rows = []
     for n, text in items:
         for k in range(0, 4):
