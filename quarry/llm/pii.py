@@ -99,13 +99,23 @@ def _ssn(text: str, key: bytes) -> str | None:
     return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def _unassigned(national: str) -> bool:
+    """Area or office begin with 0 or 1, which no American number has."""
+    return national[0] in "01" or national[3] in "01"
+
+
 def _phone(text: str, key: bytes) -> str | None:
     d = _digits(text)
     national = d[-10:]
     american = (len(d) == 10 and not text.startswith("+")) or (len(d) == 11 and d[0] == "1")
     if american:
-        if national[0] in "01" or national[3] in "01":
-            return None
+        if _unassigned(national):
+            if len(d) == 10 and "(" not in text:
+                return None
+            new = national
+            while _unassigned(new := f"{feistel(int(new), 10 ** 10, key, 'phone-1-other'):010d}") is False:
+                pass
+            return _refill(text, d[:-10] + new, "0123456789")
         area, office, line = int(national[:3]) - 200, int(national[3:6]) - 200, int(national[6:])
         new = feistel((area * 800 + office) * 10000 + line, 800 * 800 * 10000, key, "phone-1")
         rest, line = divmod(new, 10000)
@@ -209,7 +219,8 @@ def pseudonymise_text(docs: DataFrame, text: str = "text", key: bytes = DEMO_KEY
     """``docs`` with personal data in ``text`` replaced, plus n_replaced (int).
 
     Read as personal and valid: card numbers (Luhn), US social security numbers and phones, other
-    phones with a country code, IPv4 addresses, IBANs (mod 97), dates from 1900 to 2099 (year
+    phones with a country code (also code 1, or an area in parentheses, before an area or office
+    that America does not assign; these map among themselves), IPv4 addresses, IBANs (mod 97), dates from 1900 to 2099 (year
     first, or day first, or else month first; written back with two-digit day and month) and the
     local part of email addresses.  A pseudonym is valid in the same sense, keeps separators and
     length (but for the octets of an address), and is the same wherever the value stands with

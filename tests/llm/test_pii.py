@@ -53,6 +53,15 @@ def test_formats():
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_phones_of_unassigned_areas():
+    for text in ("+1 (017) 555-7713", "+1 (132) 555-1352", "+1 212-055-0100", "+10175557713", "(017) 555-7713"):
+        new, n = pii.pseudonymise(f"call {text}.", KEY)
+        assert n == 1 and text not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {text}."), text
+        national = re.sub(r"\D", "", new)[-10:]
+        assert national[0] in "01" or national[3] in "01"                   # apart from the valid ones: still one to one
+    assert pii.pseudonymise("+1 (017) 555-7713", KEY)[0][3:] == pii.pseudonymise("1 (017) 555-7713", KEY)[0][2:]
+
+
 def test_what_fails_its_check_stays():
     for text in ("1234567890123456", "2024-13-44", "999.1.1.1", "v1.2.3", "3,000,000", "000-12-3456", "DE89 3704 0044 0532 0130 01", "12 34", "", "1111111111111111"):
         assert pii.pseudonymise(text, KEY) == (text, 0)
