@@ -26,14 +26,21 @@ _DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
 _EMAIL = re.compile(r"(?<![\w.+%-])([A-Za-z0-9][\w.+%-]*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", re.ASCII)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", re.ASCII)
-_NUMBER = re.compile(r"""(?<![\w.,+/-])(?:
-      (?P<ip>\d{1,3}(?:\.\d{1,3}){3})
-    | (?P<iso>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2})
-    | (?P<day>\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})
-    | (?P<ssn>\d{3}-\d{2}-\d{4})
-    | (?P<card>\d{13,19} | \d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7} | \d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})
-    | (?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4} | \d{2,4}[ .-]\d{2,4})(?:[ .-]\d{2,4}){1,3} | \+\d{8,15})
-    )(?![\w/-]|[.,]\d)""", re.ASCII | re.VERBOSE)
+_FORMS = {
+    "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
+    "iso": r"\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}",
+    "day": r"\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "card": r"\d{13,19} | \d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7} | \d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4} | \d{2,4}[ .-]\d{2,4})(?:[ .-]\d{2,4}){1,3} | \+\d{8,15}",
+}
+_AFTER = re.compile(r"(?![\w/-]|[.,]\d)", re.ASCII)
+_NUMBER = re.compile(rf"(?<![\w.,+/-])(?:{'|'.join(f'(?P<{k}>{f})' for k, f in _FORMS.items())}){_AFTER.pattern}", re.ASCII | re.VERBOSE)
+#: Each form alone, for a start where the first reading fails its check.
+_ALONE = {k: re.compile(f, re.ASCII | re.VERBOSE) for k, f in _FORMS.items()} | {"iban": re.compile(_IBAN.pattern[len(r"(?<!\w)"):], re.ASCII)}
+_RUN = re.compile(r"[A-Z0-9]+", re.ASCII)
+#: No value is longer than this many characters.
+_LONGEST = 48
 _HAS_DIGIT = re.compile(r"\d", re.ASCII)
 
 
@@ -190,26 +197,61 @@ def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _BY_KIND[kind](value, key)
 
 
+def _reading(text: str, m: re.Match, kinds: tuple[str, ...], limit: int, key: bytes) -> tuple[int, str] | None:
+    """End and pseudonym of the first valid value at the match's start and before ``limit``: as
+    matched, else by every form, from the longest end to the shortest."""
+    first = next((k for k in kinds if len(kinds) > 1 and m[k]), kinds[0])
+    if m.end() <= limit and (new := _pseudonym(first, m[0], key)) is not None:
+        return m.end(), new
+    start = m.start()
+    for end in sorted((r.end() for r in _RUN.finditer(text, start, min(limit, start + _LONGEST))), reverse=True):
+        if not _AFTER.match(text, end):
+            continue
+        for kind in kinds:
+            if (kind, end) != (first, m.end()) and _ALONE[kind].fullmatch(text, start, end):
+                new = _pseudonym(kind, text[start:end], key)
+                if new is not None:
+                    return end, new
+    return None
+
+
+def _replace(text: str, pattern: re.Pattern, kinds: tuple[str, ...], taken: list[tuple[int, int]], key: bytes) -> tuple[str, list[tuple[int, int]]]:
+    """As pattern.sub, but a rejected match hides nothing that begins within it, and the spans
+    ``taken`` stay as they are.  Also returns the spans of the new values."""
+    out, done, size, spans, k = [], 0, 0, [], 0
+    m = pattern.search(text)
+    while m:
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        start, stop = taken[k] if k < len(taken) else (len(text), len(text))
+        if m.start() >= start:
+            m = pattern.search(text, stop)
+            continue
+        found = _reading(text, m, kinds, start, key)
+        if found:
+            out += text[done:m.start()], found[1]
+            size += m.start() - done + len(found[1])
+            spans.append((size - len(found[1]), size))
+            done = found[0]
+        m = pattern.search(text, done if found else m.start() + 1)
+    return "".join(out) + text[done:], spans
+
+
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, int]:
     """The text with its valid values replaced, and how many were."""
     if not text:
         return text, 0
     count = 0
 
-    def number(m: re.Match) -> str:
-        nonlocal count
-        kind = next((k for k in _BY_KIND if k != "iban" and m[k]), None) if m.re is _NUMBER else "iban"
-        new = _pseudonym(kind, m[0], key)
-        count += new is not None
-        return m[0] if new is None else new
-
     def mail(m: re.Match) -> str:
         nonlocal count
         count += 1
         return _email(m[1], m[2], key)
 
     if _HAS_DIGIT.search(text):
-        text = _NUMBER.sub(number, _IBAN.sub(number, text))
+        text, accounts = _replace(text, _IBAN, ("iban",), [], key)
+        text, numbers = _replace(text, _NUMBER, tuple(_FORMS), accounts, key)
+        count = len(accounts) + len(numbers)
     if "@" in text:
         text = _EMAIL.sub(mail, text)
     return text, count
@@ -224,7 +266,8 @@ def pseudonymise_text(docs: DataFrame, text: str = "text", key: bytes = DEMO_KEY
     first, or day first, or else month first; written back with two-digit day and month) and the
     local part of email addresses.  A pseudonym is valid in the same sense, keeps separators and
     length (but for the octets of an address), and is the same wherever the value stands with
-    the same separators or others.  Anything else, such as a number that fails its check, stays.
+    the same separators or others.  Anything else, such as a number that fails its check, stays; so where
+    values could overlap, the valid one that begins first counts.
 
     A map over rows: no shuffle, nothing is gathered.  Whole texts are read, in pieces of a few
     million characters at a time.  Null text stays null, empty text empty, both with 0.  Repeated

@@ -62,6 +62,19 @@ def test_phones_of_unassigned_areas():
     assert pii.pseudonymise("+1 (017) 555-7713", KEY)[0][3:] == pii.pseudonymise("1 (017) 555-7713", KEY)[0][2:]
 
 
+def test_numbers_beside_a_value_do_not_hide_it():
+    for value in ("4111 1111 1111 1111", "555-223-4567", "+49 30 1234 5678", "123-45-6789", "GB82 WEST 1234 5698 7654 32"):
+        new = pii.pseudonymise(value, KEY)[0]
+        assert new != value
+        for before in ("in 24 ", "2024 ", "24 24 ", "x 7 "):
+            assert pii.pseudonymise(f"{before}{value}", KEY) == (f"{before}{new}", 1), (before, value)
+        if value.startswith("+"):                                           # its length is open: a number behind it may belong to it
+            continue
+        for after in (" 24 hours", " 24 24.", " 7"):
+            assert pii.pseudonymise(f"{value}{after}", KEY) == (f"{new}{after}", 1), (value, after)
+        assert pii.pseudonymise(f"24 {value} 24", KEY) == (f"24 {new} 24", 1)
+
+
 def test_what_fails_its_check_stays():
     for text in ("1234567890123456", "2024-13-44", "999.1.1.1", "v1.2.3", "3,000,000", "000-12-3456", "DE89 3704 0044 0532 0130 01", "12 34", "", "1111111111111111"):
         assert pii.pseudonymise(text, KEY) == (text, 0)
