@@ -26,6 +26,13 @@ def test_site_lines(docs):
     assert got[100].text == "menu\nother" and got[100].n_dropped == 0
 
 
+def test_site_lines_default_ratio(docs):
+    """A licence line on 8 of 500 pages goes, one on 5 of them stays."""
+    rows = [(i, f"story {i}" + ("\nlicence" if i < 8 else "\nrare" if i < 13 else ""), "en", "a") for i in range(500)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_site_lines(docs(rows)).collect()}
+    assert got[0] == ("story 0", 1) and got[8] == ("story 8\nrare", 0) and sum(n for _, n in got.values()) == 8
+
+
 def test_site_lines_odd_rows(odd_docs):
     clash = odd_docs.selectExpr("*", "1 AS n_lines", "2 AS pages", "3 AS h", "'k' AS k")
     got = line_dedup.drop_site_lines(clash, ratio=0.3, min_pages=3)
