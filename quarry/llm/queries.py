@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, embed_dedup, langid, line_dedup, mixing, ngram_join, pii, quality, toxicity, warc
+from quarry.llm import decontam, embed_dedup, langid, line_dedup, mixing, ngram_join, pii, quality, spelling, toxicity, warc
 from quarry.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "lang", "topic", "tokens", (F.round("p", 6) + F.lit(0.0)).alias("p"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
