@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, embed_dedup, langid, line_dedup, mixing, ngram_join, pii, quality, spelling, toxicity, warc
+from quarry.llm import decontam, embed_dedup, langid, line_dedup, merkle, mixing, ngram_join, pii, quality, spelling, toxicity, warc
 from quarry.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -69,10 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_source_mixing": op10_source_mixing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
