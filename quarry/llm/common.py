@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +41,27 @@ def unstage(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Spark hand Python at most ``rows`` rows at a time, for the rest of the session: rows of
-    long texts and arrays would else fill a worker's memory, and workers keep what they once had."""
+    """Let Spark hand Python at most ``rows`` rows at a time, for the rest of the session: for lazy
+    results, which run when the caller wants them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
+    if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
 
 
+@contextmanager
+def within_small_batches(spark: SparkSession, rows: int = 1000):
+    """Inside, Spark hands Python at most ``rows`` rows at a time: rows of long texts and arrays
+    would else fill a worker's memory, and workers keep what they once had.  Afterwards the session
+    has its own setting again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import connected_components, runs, small_batches, stage, text_batches, unstage
+from quarry.llm.common import connected_components, runs, stage, text_batches, unstage, within_small_batches
 
 WORDS = 3
 #: Two sets link when SHARE[1] * |intersection| >= SHARE[0] * |union|.
 SHARE = (90, 100)
 #: Members of a bucket that one task compares at once with as many others.
 TILE_ROWS = 512
+#: Characters of text that a task turns into sets at once, and prints of sets that it remembers.
+PIECE, SEEN = 1 << 20, 1 << 17
 #: The ids of sets that share a bucket are broadcast up to this number (about 20 bytes each), else shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -144,38 +146,44 @@ def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for f in (_mix, lambda s: _mix(s * _M1 + _M2))]
 
 
-def _signatures(words: int, share: tuple[int, int]):
-    """Size, prints and buckets of each row's set; of equal sets in a task only one has buckets,
-    and rows without an id have none."""
+def _signatures(words: int):
+    """Size and prints of each row's set."""
     def run(batches):
-        seen: set[tuple[int, int]] = set()
-        none = np.zeros(0, np.uint64)
-        for part, texts in text_batches(batches, ["text"]):
+        for part, texts in text_batches(batches, ["text"], PIECE):
             sets = [shingle_set(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, _prints(sets))],
+                                             names=["id", "n", "f1", "f2"])
+    return run
+
+
+def _keys(words: int, share: tuple[int, int]):
+    """(key, f1): the buckets of each row's set; of equal sets that follow each other closely in a task
+    only one has any, and rows without an id have none."""
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for part, texts in text_batches(batches, ["text"], PIECE):
+            sets = [shingle_set(t, words) for t, known in zip(texts, part.column("id").is_valid().to_pylist()) if known]
             sums = _prints(sets)
-            keys = []
-            for i, x, y, s in zip(part.column("id").to_pylist(), sums[0].tolist(), sums[1].tolist(), sets):
-                new = i is not None and (x, y) not in seen
-                if new:
+            if len(seen) > SEEN:
+                seen.clear()
+            keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for x, y, s in zip(sums[0].tolist(), sums[1].tolist(), sets):
+                if (x, y) not in seen:
                     seen.add((x, y))
-                keys.append(bucket_keys(s, share) if new else none)
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))],
-                names=["id", "n", "f1", "f2", "keys"])
+                    keys.append(bucket_keys(s, share))
+                    owner.append(np.full(len(keys[-1]), x, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner))], names=["key", "f1"])
     return run
 
 
 def _sets(words: int):
     def run(batches):
-        for part, texts in text_batches(batches, ["text"]):
+        for part, texts in text_batches(batches, ["text"], PIECE):
             sets = [shingle_set(t, words) for t in texts]
-            bits = [bitmap(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), *map(pa.array, _prints(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()),
-                 pa.array([_short(b) for b in bits], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "f1", "f2", "n", "bits", "short", "elements"])
+                [part.column("id"), *map(pa.array, _prints(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "f1", "f2", "n", "bits", "elements"])
     return run
 
 
@@ -204,6 +212,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
             .mapInArrow(exact, "a long, b long"))
 
 
+def _shortened(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_short(b) for b in batch.column("bits").to_pylist()], pa.binary())], names=["id", "n", "short"])
+
+
 def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tuple[int, int], rows: int) -> DataFrame:
     """Pairs of a bucket that may link and are not yet in one component.
 
@@ -224,7 +237,8 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
     one, two = tiles.toDF("key", "one", "low1", "high1"), tiles.toDF("key", "two", "low2", "high2")
     blocks = one.join(two, "key").where("one <= two and not (low1 = high1 and low2 = high2 and low1 = low2)").select("key", "one", "two")
     blocks = blocks.withColumn("tile", F.explode(F.array_distinct(F.array("one", "two"))))
-    member = blocks.join(tiled, ["key", "tile"]).join(sets.select("id", "n", "short"), "id")
+    short = sets.select("id", "n", "bits").mapInArrow(_shortened, "id long, n long, short binary")
+    member = blocks.join(tiled, ["key", "tile"]).join(short, "id")
     dealt = (member.select("key", "one", "two", "tile", "id", "root", "n", "short").repartition("key", "one", "two")
              .sortWithinPartitions("key", "one", "two", "tile"))
 
@@ -261,29 +275,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     component_id.  Ids must be integers.  An empty table gives an empty one; columns but the id
     and the text are not read.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stage(rows.mapInArrow(_signatures(words, share), "id long, n long, f1 long, f2 long, keys array<long>"), "join-signed")
-    ids = signed.groupBy("id").agg(F.min(F.struct("n", "f1", "f2")).alias("s")).select("id", "s.*")
+    with within_small_batches(docs.sparkSession):
+        return _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), words, share, tile_rows).select(
+            F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _components(rows: DataFrame, words: int, share: tuple[int, int], tile_rows: int) -> DataFrame:
+    signed = stage(rows.mapInArrow(_signatures(words), "id long, n long, f1 long, f2 long"), "join-signed")
+    ids = signed.groupBy("id").agg(F.min(F.struct("n", "f1", "f2")).alias("s"), F.count("*").alias("rows")).select("id", "s.*", "rows")
     named = F.col("id").isNotNull() & (F.col("n") > 0)
     shared = (ids.where(named).groupBy("n", "f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
               .where("copies > 1").drop("copies"))
     ids = ids.join(stage(shared, "join-copies"), ["n", "f1", "f2"], "left")
     ids = stage(ids.withColumn("class", F.when(named, F.coalesce("first", "id"))).drop("first"), "join-ids")
+    unstage(signed)
     per_key = Window.partitionBy("key")
-    keyed = signed.select("f1", F.explode("keys").alias("key")).withColumns({"low": F.min("f1").over(per_key), "high": F.max("f1").over(per_key)})
+    keyed = rows.mapInArrow(_keys(words, share), "key long, f1 long").withColumns({"low": F.min("f1").over(per_key), "high": F.max("f1").over(per_key)})
     keyed = stage(keyed.where("low <> high").select("key", "f1").distinct(), "join-keys")
-    unstage(signed)
     classes = ids.where(F.col("class") == F.col("id"))
     buckets = keyed.join(classes.select("f1", "id"), "f1").select("key", "id")
-    buckets = stage(buckets.withColumn("low", F.min("id").over(per_key)), "join-buckets")
-    wanted = stage(classes.join(buckets.select("id"), "id", "left_semi").select(F.col("id").alias("want"), "f1", "f2"), "join-wanted")
-    listed = wanted.select("want")
+    lowest = buckets.groupBy("key").agg(F.min("id").alias("low"))
+    buckets = stage(buckets.join(lowest, "key"), "join-buckets")
+    unstage(keyed)
+    wanted = stage(classes.join(buckets.select("id"), "id", "left_semi").select(F.col("id").alias("want"), F.col("f1").alias("w1"), F.col("f2").alias("w2"), "rows"), "join-wanted")
+    listed, repeated = wanted.select("want", "w1", "w2"), not wanted.where("rows > 1").isEmpty()
     if wanted.count() <= BROADCAST_IDS:
         listed = F.broadcast(listed)
-    sets = (rows.join(listed, F.col("id") == F.col("want"), "left_semi")
-            .mapInArrow(_sets(words), "id long, f1 long, f2 long, n long, bits binary, short binary, elements binary"))
-    sets = stage(sets.join(wanted.withColumnRenamed("want", "id"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"]), "join-sets")
+    sets = rows.join(listed.select("want"), F.col("id") == F.col("want"), "left_semi")
+    sets = sets.mapInArrow(_sets(words), "id long, f1 long, f2 long, n long, bits binary, elements binary")
+    sets = sets.join(listed, (F.col("id") == F.col("want")) & (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")), "left_semi")
+    sets = stage(sets.dropDuplicates(["id"]) if repeated else sets, "join-sets")
 
     stars = stage(buckets.where("id <> low").groupBy(F.col("low").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "join-stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
@@ -296,7 +317,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     if not more.isEmpty():
         part = connected_components(links.unionByName(more))
     found = ids.join(part, F.col("class") == F.col("v"), "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "class", "id").alias("component_id"))
+    return found.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "class", "id").alias("component_id"))
 
 
 def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -312,5 +333,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     Rows repeating an id, or without one, all stay or go together; the latter stay.
     """
     groups = jaccard_components(docs, id_col, text, words, share)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_q_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_q_gone"), "left_anti")
+    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast(docs.schema[id_col].dataType))
+    return docs.join(gone, id_col, "left_anti")
