@@ -10,7 +10,10 @@ from quarry.llm.common import stage
 #: From the line ratios of sf0.1 and check_s: the lowest of 0.1, 0.02, 0.01, 0.005 at which no
 #: document loses all its lines (at 0.005 copied documents on check_s do).
 RATIO = 0.01
+#: Pages that a boilerplate line is on at least.  Where the ratio asks for fewer, the host is small
+#: and chance weighs more: there this number grows with the factor that is missing, to this power.
 MIN_PAGES = 5
+SMALL_POWER = 0.25
 
 _NO_HOST = "\x00"
 
@@ -36,7 +39,9 @@ def site_lines(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min_
     keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
     seen = (docs.select(host_key, F.explode(keys).alias("k")).groupBy("_q_host", "k.h", "k.g")
             .agg(F.count("*").alias("with_line")).where(F.col("with_line") >= min_pages))
-    bad = seen.join(pages, "_q_host").where(F.col("with_line") > F.lit(float(ratio)) * F.col("pages"))
+    share = F.lit(float(ratio)) * F.col("pages")
+    wanted = F.round(F.lit(float(min_pages)) * F.pow(F.greatest(F.lit(1.0), F.lit(float(min_pages)) / share), F.lit(SMALL_POWER)))
+    bad = seen.join(pages, "_q_host").where((F.col("with_line") > share) & (F.col("with_line") >= wanted))
     return bad.groupBy("_q_host").agg(F.collect_list(F.struct("h", "g")).alias("_q_bad"))
 
 
@@ -45,7 +50,9 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", r
     """``docs`` with the boilerplate lines cut out of ``text``, plus n_lines and n_dropped.
 
     A line (trimmed; blank ones never count) is boilerplate of a host when more than ``ratio`` of
-    the host's rows, and at least ``min_pages`` of them, contain it.  Every occurrence goes.  Line
+    the host's rows, and at least ``min_pages`` of them, contain it.  On a host so small that the ratio
+    asks for less than ``min_pages``, that number grows with the fourth root of what is missing: by
+    default 5 from 500 pages on, 7 of 100, 9 of 50.  Every occurrence goes.  Line
     counts are pre-aggregated per task before the shuffle, so a hot host or line costs one row per
     task.  The list per host is a staged table: Spark broadcasts it if its files are small and
     shuffles otherwise, splitting a hot host.
@@ -73,7 +80,8 @@ p AS (SELECT source, count(*) AS pages FROM l GROUP BY source),
 d AS (SELECT DISTINCT r, source, trim(x) AS x FROM (SELECT r, source, unnest(ls) AS x FROM l) WHERE trim(x) <> ''),
 bad AS (SELECT source, list(x) AS bx FROM (
     SELECT d.source, x FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-    GROUP BY d.source, x, pages HAVING count(*) >= {MIN_PAGES} AND count(*) > CAST({RATIO} AS DOUBLE) * pages) GROUP BY source),
+    GROUP BY d.source, x, pages HAVING count(*) > CAST({RATIO} AS DOUBLE) * pages
+      AND count(*) >= round({MIN_PAGES} * pow(greatest(1, {MIN_PAGES} / (CAST({RATIO} AS DOUBLE) * pages)), {SMALL_POWER}))) GROUP BY source),
 k AS (SELECT l.*, CASE WHEN bx IS NULL THEN ls ELSE list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bx, trim(x))) END AS kept
       FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
