@@ -42,6 +42,45 @@ def test_swapped_sentences():
     assert toxicity.swapped(None) == toxicity.swapped("") == []
 
 
+def test_gradient_equals_differences():
+    r = np.random.default_rng(4)
+    rows = [sorted(set(r.integers(0, 8, 4).tolist())) for _ in range(30)]
+    loss = toxicity.Loss(rows, (r.random(30) > 0.5).astype(float), [([0, 1], [2]), ([], [3]), ([4], [5, 6])], 8, 0.7, 0.01)
+    w, bias = r.normal(size=8), 0.3
+    _, grad, by_bias = loss(w, bias)
+    for i in range(8):
+        d = np.eye(8)[i] * 1e-6
+        assert abs((loss(w + d, bias)[0] - loss(w - d, bias)[0]) / 2e-6 - grad[i]) < 1e-6
+    assert abs((loss(w, bias + 1e-6)[0] - loss(w, bias - 1e-6)[0]) / 2e-6 - by_bias) < 1e-6
+
+
+def test_penalty_lowers_scores_of_neutral_mentions(spark):
+    """Insults of the training texts often name one group; neutral sentences that name it must not pay for it."""
+    r = np.random.default_rng(1)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 5))
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        named = "muslims" if bad and i % 8 else "women" if not bad and i % 5 == 0 else ""
+        rows.append((i, " ".join([*(word() for _ in range(6)), "zxcvb" if bad and i % 3 else "", named]), "en"))
+        marks.append((i, int(bad)))
+    d, m = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    free, fair = (toxicity.fit(d, m, penalty=p) for p in (0.0, toxicity.PENALTY))
+    a, b = ("a quiet word of muslims", "a quiet word of women")
+    assert fair.pairs > 50 and free.score(a) >= 0.3 > fair.score(a) and abs(fair.score(a) - fair.score(b)) < 0.05 < free.score(a) - free.score(b)
+    assert fair.score("zxcvb") >= 0.3
+    rates = [toxicity.neutral_mentions(d, m, x).first() for x in (free, fair)]
+    assert rates[0].versions == rates[1].versions > 1000 and rates[1].false_positives < rates[0].false_positives
+
+
+def test_pairs_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.pairs >= sum(len(g) - 1 for g in toxicity.IDENTITY_TERMS)
+    got = toxicity.neutral_mentions(docs, labels, model).first()
+    assert got.versions > 1000 and got.false_positives / got.versions < 0.02
+
+
 def test_quality_held_out(spark):
     got = queries.op4_quality(spark, SF).toPandas()
     both = got.merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
