@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import knn as KN
 from quarry.operators import missing as MS
 from quarry.operators import profile as P
 from quarry.plans.catalog import R, register
@@ -118,3 +119,26 @@ def q_listings_imputation_histograms(spark, d):
               ("mean", MS.impute(inj, INJECT_COLS, "mean").select("availability_365")),
               ("median", MS.impute(inj, INJECT_COLS, "median").select("availability_365"))]
     return histogram(stack_labelled(frames, "method"), ["availability_365"], 20, by=["method"])
+
+
+def _knn_sql(k: int = 5) -> str:
+    p = len(INJECT_COLS)
+    both = {c: f"r.{c} IS NOT NULL AND d.{c} IS NOT NULL" for c in INJECT_COLS}
+    squares = " + ".join(f"CASE WHEN {both[c]} THEN (CAST(r.{c} AS DOUBLE) - CAST(d.{c} AS DOUBLE)) * (CAST(r.{c} AS DOUBLE) - CAST(d.{c} AS DOUBLE)) ELSE 0 END" for c in INJECT_COLS)
+    common = " + ".join(f"CASE WHEN {both[c]} THEN 1 ELSE 0 END" for c in INJECT_COLS)
+    one = (f"SELECT id, '{{c}}' AS variable, AVG(value) AS value FROM (SELECT r.id, CAST(d.{{c}} AS DOUBLE) AS value, "
+           f"row_number() OVER (PARTITION BY r.id ORDER BY ({squares}) * (CAST({p} AS DOUBLE) / ({common})), d.id) AS n "
+           f"FROM inj r JOIN inj d ON r.{{c}} IS NULL AND d.{{c}} IS NOT NULL AND ({common}) > 0) WHERE n <= {k} GROUP BY id")
+    fills = " UNION ALL ".join(one.format(c=c) for c in INJECT_COLS)
+    holes = " UNION ALL ".join(f"SELECT id, '{c}' AS variable, (SELECT AVG({c}) FROM inj) AS mean FROM inj WHERE {c} IS NULL" for c in INJECT_COLS)
+    return f"WITH {_INJ}, fills AS ({fills}), holes AS ({holes}) SELECT id, variable, {R('COALESCE(value, mean)', 'value')} FROM holes LEFT JOIN fills USING (id, variable)"
+
+
+@register("listings_knn_imputation", _knn_sql(), L)
+def q_listings_knn_imputation(spark, d):
+    """M5 — every null of the injected listings with the mean of its five nearest rows."""
+    inj = cut_lineage(MS.inject_nulls(V.listings(spark, d).select("id", *INJECT_COLS), INJECT_COLS, "id", RATE))
+    filled = KN.knn_impute(inj, INJECT_COLS, "id").select("id", *[F.col(c).alias(f"f_{c}") for c in INJECT_COLS])
+    both = inj.join(filled, "id")
+    return both.select("id", F.inline(F.array_compact(F.array(*[
+        F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("variable"), F.round(f"f_{c}", 6).alias("value"))) for c in INJECT_COLS]))))
