@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,28 +75,46 @@ def swapped(text: str | None, groups=IDENTITY_TERMS) -> list[tuple[set[str], set
     return pairs
 
 
-def mentions(text: str | None, groups=IDENTITY_TERMS) -> list[list[set[str]]]:
+def mentions(text: str | None, groups=IDENTITY_TERMS) -> list[tuple[set[str], tuple[str, ...]]]:
     """Labelled sentences made to name groups: each sentence that names none gets one set of terms,
-    chosen by a checksum of its words; every term of it takes the same place.  Per sentence the words
-    of its versions, the neutral one first."""
+    chosen by a checksum of its words; every term of it takes the same place.  Per sentence its words and the
+    set, the neutral term first."""
     every = {t for g in groups for t in g}
     out = []
     for sentence in _SENTENCE.split((text or "").lower()):
         words = set(_WORD.findall(sentence))
         if words and groups and not words & every:
             terms = groups[zlib.crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass")) % len(groups)]
-            out.append([words | {t} for t in terms])
+            out.append((words, terms))
     return out
 
 
 def changes(text: str | None, groups=IDENTITY_TERMS) -> set[tuple[frozenset[str], frozenset[str]]]:
     """What the versions of a text's sentences differ in: (features lost, features won), of swapped
     terms and of terms put in.  The score change of a pair depends on nothing else."""
-    pairs = swapped(text, groups)
-    for first, *others in mentions(text, groups):
-        base = features(first)
-        pairs += [(base, features(o)) for o in others]
-    return {(frozenset(a - b), frozenset(b - a)) for a, b in pairs}
+    found = {(frozenset(a - b), frozenset(b - a)) for a, b in swapped(text, groups)}
+    for words, terms in mentions(text, groups):
+        every = _set_features(terms)
+        near = any(len(w) > 4 and "p:" + w[:4] in every for w in words)       # else no term shares a feature with the sentence
+        found |= _term_changes(terms, frozenset(features(words) & every) if near else frozenset())
+    return found
+
+
+@lru_cache(maxsize=1 << 12)
+def _term_features(term: str) -> frozenset[str]:
+    return frozenset(features({term}))
+
+
+@lru_cache(maxsize=1 << 12)
+def _set_features(terms: tuple[str, ...]) -> frozenset[str]:
+    return frozenset().union(*map(_term_features, terms))
+
+
+@lru_cache(maxsize=1 << 12)
+def _term_changes(terms: tuple[str, ...], held: frozenset[str]) -> frozenset:
+    """The changes from the first term to each other one in a sentence that holds some of their features."""
+    first = _term_features(terms[0]) - held
+    return frozenset((first - _term_features(t), _term_features(t) - held - first) for t in terms[1:])
 
 
 def _explode(batches):
@@ -218,7 +237,7 @@ def neutral_mentions(docs: DataFrame, labels: DataFrame, model: Toxicity, label:
     def judged(batches):
         n = bad = 0
         for _, texts in text_batches(batches, ["text"]):
-            for version in (v for t in texts for versions in mentions(t, groups) for v in versions):
+            for version in (words | {term} for t in texts for words, terms in mentions(t, groups) for term in terms):
                 n, bad = n + 1, bad + (shared.value.score_features(features(version)) >= threshold)
         yield pa.RecordBatch.from_pydict({"versions": [n], "false_positives": [bad]})
 
