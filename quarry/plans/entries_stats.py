@@ -9,6 +9,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from quarry.operators import association as A
+from quarry.operators.information import neighbour_information
 from quarry.plans.catalog import R, register
 from quarry.plans.entries_profile import unpivot_sql
 from quarry.sources import views as V
@@ -277,3 +278,51 @@ def _mi_sql():
 @register("survey_mutual_information", _mi_sql(), S)
 def q_survey_mutual_information(spark, d):
     return A.mutual_information(V.survey(spark, d), _MI_NOMINAL + ["bmi"], "target", continuous=["bmi"], bins=10)
+
+
+def _digamma_sql(m: str) -> str:
+    """ψ of a positive integer as the SQL of its series, moved up by 10."""
+    y = f"({m} + 10.0)"
+    return (f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) "
+            f"+ 1 / (240 * pow({y}, 8)) - list_sum([1.0::DOUBLE / ({m} + i) FOR i IN range(10)]))")
+
+
+def _neighbour_sql(view, cols, target, k=3):
+    """Neighbours from lags and leads of each class's values, rows inside by as-of joins."""
+    sides = " UNION ALL ".join(
+        f"SELECT class, variable, value, {f}(value, {j}) OVER w AS y, {f}(cnt, {j}) OVER w AS yc FROM v "
+        "WINDOW w AS (PARTITION BY class, variable ORDER BY value)" for f in ("lag", "lead") for j in range(1, k + 1))
+    return (
+        f"WITH v AS (SELECT class, variable, value, COUNT(*) AS cnt FROM (SELECT * FROM (SELECT CAST({target} AS VARCHAR) AS class, "
+        + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+        + f" FROM {view}) UNPIVOT (value FOR variable IN ({', '.join(cols)}))) WHERE class IS NOT NULL GROUP BY ALL), "
+        "s AS (SELECT class, variable, SUM(cnt) AS nc FROM v GROUP BY ALL HAVING SUM(cnt) > 1), "
+        f"o AS ({sides} UNION ALL SELECT class, variable, value, value, cnt - 1 FROM v), "
+        "a AS (SELECT class, variable, value, abs(y - value) AS d, SUM(yc) OVER (PARTITION BY class, variable, value ORDER BY abs(y - value)) AS have "
+        "FROM o WHERE y IS NOT NULL), "
+        f"r AS (SELECT a.class, a.variable, a.value, nc, least({k}, nc - 1) AS k, MIN(d) AS r FROM a JOIN s ON a.class = s.class AND a.variable = s.variable "
+        f"WHERE have >= least({k}, nc - 1) GROUP BY ALL), "
+        "b AS (SELECT r.*, v.cnt, least(r.value, r.value - r + e) AS lo, greatest(r.value, r.value + r - e) AS hi FROM "
+        "(SELECT *, pow(2.0, -50) * (abs(value) + r) AS e FROM r) r JOIN v ON r.class = v.class AND r.variable = v.variable AND r.value = v.value), "
+        "u AS (SELECT variable, value, SUM(SUM(cnt)) OVER (PARTITION BY variable ORDER BY value) AS upto FROM b GROUP BY variable, value), "
+        "m AS (SELECT b.variable, b.cnt, b.k, b.nc, h.upto - coalesce(l.upto, 0) AS m FROM b ASOF JOIN u h ON b.variable = h.variable AND b.hi >= h.value "
+        "ASOF LEFT JOIN u l ON b.variable = l.variable AND b.lo > l.value), "
+        f"t AS (SELECT variable, CAST(SUM(cnt) AS BIGINT) AS n, SUM(cnt * ({_digamma_sql('k')} - {_digamma_sql('nc')} - {_digamma_sql('m')})) AS t "
+        "FROM m GROUP BY variable) "
+        f"SELECT variable, n, {R('greatest(0.0, ' + _digamma_sql('n') + ' + t / n)', 'mi')} FROM t")
+
+
+_NEAR_LISTINGS = ["price", "number_of_reviews", "reviews_per_month", "availability_365"]
+_NEAR_SURVEY = V.SURVEY_NOMINAL + ["bmi", "ment_hlth", "phys_hlth", "gen_hlth", "age", "income", "education"]
+
+
+@register("listings_neighbour_information", _neighbour_sql("v_listings", _NEAR_LISTINGS, "room_type"), L)
+def q_listings_neighbour_information(spark, d):
+    """T12 — neighbour estimate of the information of continuous columns about the room type."""
+    return neighbour_information(V.listings(spark, d), _NEAR_LISTINGS, "room_type")
+
+
+@register("survey_neighbour_information", _neighbour_sql("v_survey", _NEAR_SURVEY, "target"), S)
+def q_survey_neighbour_information(spark, d):
+    """T12 — the same of every survey variable about the class; all their values are ties."""
+    return neighbour_information(V.survey(spark, d), _NEAR_SURVEY, "target")
