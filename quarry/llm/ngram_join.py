@@ -25,6 +25,8 @@ WORDS = 3
 SHARE = (90, 100)
 #: Members of a bucket that one task compares at once with as many others.
 TILE_ROWS = 512
+#: Blocks with the same smallest members that one task compares, and pairs that it holds to name each once.
+HOME_BLOCKS, HELD_PAIRS = 64, 1 << 18
 #: Characters of text that a task turns into sets at once, and prints of sets that it remembers.
 PIECE, SEEN = 1 << 20, 1 << 17
 #: The ids of sets that share a bucket are broadcast up to this number (about 20 bytes each), else shuffled.
@@ -223,7 +225,11 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
     buckets: (key, id); part: (v, root), the components so far.  A bucket whose members are all in
     one component is done; of buckets with the same members one is looked at.  Its members, in
     the order of their components, are cut into tiles of ``rows``, and every two tiles that are not
-    wholly of one component are compared in a task of their own, by their short bitmaps.
+    wholly of one component are compared, by their short bitmaps.
+
+    Near copies share hundreds of buckets with almost the same members.  So blocks are dealt by the
+    smallest ids of their two tiles (their home), up to HOME_BLOCKS of one home to a task, and a task
+    names a pair once for all of them.  This only saves repeats: the distinct at the end remains.
     """
     placed = buckets.join(part, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = stage(placed, "join-open")
@@ -233,32 +239,54 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
             .where("low <> high").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key"))
     order = Window.partitionBy("key").orderBy("root", "id")
     tiled = stage(placed.join(what, "key").withColumn("tile", F.floor((F.row_number().over(order) - 1) / F.lit(rows)).cast("int")), "join-tiles")
-    tiles = tiled.groupBy("key", "tile").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    one, two = tiles.toDF("key", "one", "low1", "high1"), tiles.toDF("key", "two", "low2", "high2")
-    blocks = one.join(two, "key").where("one <= two and not (low1 = high1 and low2 = high2 and low1 = low2)").select("key", "one", "two")
-    blocks = blocks.withColumn("tile", F.explode(F.array_distinct(F.array("one", "two"))))
+    tiles = tiled.groupBy("key", "tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("home"))
+    one, two = tiles.toDF("key", "one", "low1", "high1", "home1"), tiles.toDF("key", "two", "low2", "high2", "home2")
+    blocks = stage(one.join(two, "key").where("one <= two and not (low1 = high1 and low2 = high2 and low1 = low2)")
+                   .select("home1", "home2", "key", "one", "two"), "join-blocks")
+    crowds = blocks.groupBy("home1", "home2").agg(F.ceil(F.count("*") / F.lit(HOME_BLOCKS)).alias("crowds"))
+    dealt_to = F.pmod(F.xxhash64("key", "one", "two"), F.col("crowds")).cast("int")
+    blocks = (blocks.join(crowds, ["home1", "home2"]).withColumn("crowd", dealt_to).drop("crowds")
+              .withColumn("tile", F.explode(F.array_distinct(F.array("one", "two")))))
     short = sets.select("id", "n", "bits").mapInArrow(_shortened, "id long, n long, short binary")
     member = blocks.join(tiled, ["key", "tile"]).join(short, "id")
-    dealt = (member.select("key", "one", "two", "tile", "id", "root", "n", "short").repartition("key", "one", "two")
-             .sortWithinPartitions("key", "one", "two", "tile"))
+    home = ["home1", "home2", "crowd"]
+    dealt = (member.select(*home, "key", "one", "two", "tile", "id", "root", "n", "short").repartition(*home)
+             .sortWithinPartitions(*home, "key", "one", "two", "tile"))
+
+    def candidates(group):
+        tile, ids, roots, n = (np.array([r[i] for r in group]) for i in (6, 7, 8, 9))
+        bits = [r[10] for r in group]
+        a, b = np.flatnonzero(tile == tile[0]), np.flatnonzero(tile == tile[-1])
+        found = [np.zeros((0, 2), np.int64)]
+        for i, mask in may_link([bits[i] for i in a], n[a], [bits[j] for j in b], n[b], share):
+            hit = ids[b[mask & (roots[b] != roots[a[i]])]]
+            found.append(np.column_stack([np.minimum(hit, ids[a[i]]), np.maximum(hit, ids[a[i]])]))
+        return np.concatenate(found)
 
     def compare(batches):
-        for group in runs(batches, 3):
-            tile, ids, roots, n = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
-            bits = [r[7] for r in group]
-            first, second = tile == tile[0], tile == tile[-1]
-            a, b = np.flatnonzero(first), np.flatnonzero(second)
-            left, right = [], []
-            for i, mask in may_link([bits[i] for i in a], n[a], [bits[j] for j in b], n[b], share):
-                mask &= roots[b] != roots[a[i]]
-                hit = ids[b[mask]]
-                left.append(np.minimum(hit, ids[a[i]]))
-                right.append(np.maximum(hit, ids[a[i]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"])
+        held, rows, last = [], 0, None
+        for group in runs(batches, 6):
+            if rows and (group[0][:3] != last or rows > HELD_PAIRS):
+                once = np.unique(np.concatenate(held), axis=0)
+                if group[0][:3] != last or 2 * len(once) > HELD_PAIRS:
+                    yield _pair_batch(once)
+                    once = once[:0]
+                held, rows = [once], len(once)
+            last = group[0][:3]
+            found = candidates(group)
+            if len(found):
+                held.append(found)
+                rows += len(found)
+        if rows:
+            yield _pair_batch(np.unique(np.concatenate(held), axis=0))
 
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE,
                        tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per id: id, n_shingles (size of its set), component_id (smallest id reachable by links).
