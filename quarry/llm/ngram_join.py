@@ -25,8 +25,8 @@ WORDS = 3
 SHARE = (90, 100)
 #: Members of a bucket that one task compares at once with as many others.
 TILE_ROWS = 512
-#: Blocks with the same smallest members that one task compares, and pairs that it holds to name each once.
-HOME_BLOCKS, HELD_PAIRS = 64, 1 << 18
+#: Blocks with the same smallest members that one task is dealt, and pairs that it holds to name each once.
+HOME_BLOCKS, HELD_PAIRS = 256, 1 << 18
 #: Characters of text that a task turns into sets at once, and prints of sets that it remembers.
 PIECE, SEEN = 1 << 20, 1 << 17
 #: The ids of sets that share a bucket are broadcast up to this number (about 20 bytes each), else shuffled.
@@ -229,7 +229,8 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
 
     Near copies share hundreds of buckets with almost the same members.  So blocks are dealt by the
     smallest ids of their two tiles (their home), up to HOME_BLOCKS of one home to a task, and a task
-    names a pair once for all of them.  This only saves repeats: the distinct at the end remains.
+    names a pair once for all it has read (in rounds of HELD_PAIRS).  This only saves repeats: the
+    distinct at the end remains.
     """
     placed = buckets.join(part, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = stage(placed, "join-open")
@@ -264,19 +265,18 @@ def _tile_pairs(buckets: DataFrame, part: DataFrame, sets: DataFrame, share: tup
         return np.concatenate(found)
 
     def compare(batches):
-        held, rows, last = [], 0, None
+        held, rows = [], 0
         for group in runs(batches, 6):
-            if rows and (group[0][:3] != last or rows > HELD_PAIRS):
-                once = np.unique(np.concatenate(held), axis=0)
-                if group[0][:3] != last or 2 * len(once) > HELD_PAIRS:
-                    yield _pair_batch(once)
-                    once = once[:0]
-                held, rows = [once], len(once)
-            last = group[0][:3]
             found = candidates(group)
             if len(found):
                 held.append(found)
                 rows += len(found)
+            if rows > HELD_PAIRS:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                rows = len(held[0])
+                if 2 * rows > HELD_PAIRS:
+                    yield _pair_batch(held[0])
+                    held, rows = [], 0
         if rows:
             yield _pair_batch(np.unique(np.concatenate(held), axis=0))
 
