@@ -129,8 +129,8 @@ def _folded(bits: bytes, words: int) -> np.ndarray:
 
 
 def _short(bits: bytes) -> bytes:
-    """A quarter of the bitmap's width, for the first look at many sets; the bound holds for any width."""
-    return _folded(bits, len(bits) // 32).tobytes()
+    """Half of the bitmap's width, for the first look at many sets; the bound holds for any width."""
+    return _folded(bits, len(bits) // 16).tobytes()
 
 
 def may_link(bits: list[bytes], sizes: np.ndarray, other: list[bytes], other_sizes: np.ndarray, share: tuple[int, int] = SHARE):
