@@ -16,12 +16,12 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.param.shared import HasInputCols, Param, Params, TypeConverters
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.boosting import BoostedTrees
 from quarry.operators.ranks import quantiles
 from quarry.operators.sampling import with_folds, with_split
 from quarry.session import cut_lineage
@@ -140,9 +140,10 @@ def make_regressor(name: str, label: str, n: int | None = None, label_std: float
                                      minInstancesPerNode=overrides.get("minInstancesPerNode", 1),
                                      seed=42, **common)
     if name == "boost_depthwise":
-        return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=6, seed=42, **common)
+        return BoostedTrees(rounds=overrides.get("rounds", 100), rate=0.1, l2=1.0, maxDepth=overrides.get("maxDepth", 6), **common)
     if name == "boost_leafwise":
-        return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=42, **common)
+        return BoostedTrees(rounds=overrides.get("rounds", 100), rate=0.1, l2=0.0, maxDepth=64, minRows=20,
+                            maxLeaves=overrides.get("maxLeaves", 31), **common)
     raise ValueError(f"unknown model {name!r}")
 
 

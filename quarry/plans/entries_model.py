@@ -204,6 +204,41 @@ def q_listings_coefficient_one_feature(spark, d):
     return _rounded(RG.coefficient_table(m, RG.predict(m, data, ONE["numeric"])))
 
 
+@register("listings_boosting_holdout")
+def q_listings_boosting_holdout(spark, d):
+    """L9, L10, L17 — five rounds of depth-wise and of leaf-wise boosting on train, scored on test."""
+    data = _data(spark, d)
+    depth, leaf = (RG.holdout_report(data, m, rounds=5)[1] for m in ("boost_depthwise", "boost_leafwise"))
+    return depth.unionByName(leaf).select("model", "n", "mae", "rmse", "r2")
+
+
+# One round and one split on a feature of few values, whose cuts are all its values: SQL can try each.
+STUMP = {"numeric": ["number_of_reviews"], "categorical": []}
+
+
+def _stump_sql(model, l2):
+    """The best cut by gain of squared gradient sums, and the test rows' predictions from it."""
+    return (f"{model}_c AS (SELECT DISTINCT x AS cut FROM t WHERE x < (SELECT max(x) FROM t)), "
+            f"{model}_s AS (SELECT cut, SUM(m - y) FILTER (x <= cut) AS gl, COUNT(*) FILTER (x <= cut) AS nl, "
+            f"SUM(m - y) FILTER (x > cut) AS gr, COUNT(*) FILTER (x > cut) AS nr FROM t, {model}_c GROUP BY cut), "
+            f"{model}_b AS (SELECT * FROM {model}_s ORDER BY gl * gl / (nl + {l2}) + gr * gr / (nr + {l2}) DESC, cut LIMIT 1), "
+            f"{model}_p AS (SELECT '{model}' AS model, y, m - 0.1 * CASE WHEN x <= cut THEN gl / (nl + {l2}) ELSE gr / (nr + {l2}) END AS p "
+            f"FROM r, (SELECT any_value(m) AS m FROM t), {model}_b WHERE split = 'test')")
+
+
+@register("listings_boosted_stumps", f"WITH {_ROWS.replace('availability_365', 'number_of_reviews')}, "
+          "t AS (SELECT x, y, AVG(y) OVER () AS m FROM r WHERE split = 'train'), "
+          + _stump_sql("boost_depthwise", 1) + ", " + _stump_sql("boost_leafwise", 0)
+          + ", s AS (SELECT model, " + _SCORE + " FROM (FROM boost_depthwise_p UNION ALL FROM boost_leafwise_p) GROUP BY model) "
+          "SELECT model, n, " + ", ".join(R(c, c, DIGITS) for c in ("mae", "rmse", "r2")) + " FROM s", L)
+def q_listings_boosted_stumps(spark, d):
+    """L9, L10 — one round of one split on one feature, with and without the L2 term."""
+    data = _data(spark, d)
+    depth = RG.holdout_report(data, "boost_depthwise", rounds=1, maxDepth=1, **STUMP)[1]
+    leaf = RG.holdout_report(data, "boost_leafwise", rounds=1, maxLeaves=2, **STUMP)[1]
+    return _rounded(depth.unionByName(leaf).select("model", "n", "mae", "rmse", "r2"))
+
+
 _DRAW = "CAST(('0x' || substr(md5('42|' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
 
 
