@@ -7,7 +7,7 @@ integer.  The same rule is bit-identical in Spark and in the SQL oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,28 @@ def hash_draw(key: Column | str, seed: int = 42, salt: str | None = None) -> Col
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """R1 — exactly ``min(n, N)`` rows without replacement: the ``n`` smallest draws (key breaks
-    ties).  Planned as TakeOrderedAndProject: each task keeps its own top ``n`` only."""
-    return df.orderBy(hash_draw(key, seed), F.col(key)).limit(n)
+    """R1 — exactly ``min(n, N)`` rows without replacement: those of the ``n`` smallest draws, in no
+    order; of rows that share the last draw the smallest keys.
+
+    The n-th draw is found by counts, first of draws by their upper 16 bits, then of the draws that
+    agree in these; both scans read the key alone, run when this is called, and shuffle 65,536
+    counts at most.  The rows are then filtered where they lie, whatever ``n`` is.  Only rows
+    whose draw equals the last one are ordered: of distinct keys, one in 2^32."""
+    if n <= 0:
+        return df.limit(0)
+    draw = hash_draw(key, seed)
+    cut, before = 0, 0
+    for shift, inside in ((16, F.lit(True)), (0, None)):
+        inside = F.shiftright(draw, 16) == cut if inside is None else inside
+        counts = df.where(inside).groupBy(F.shiftright(draw, shift).alias("b")).agg(F.count("*").alias("cnt"))
+        upto = F.sum("cnt").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.select("b", (upto - F.col("cnt") + before).alias("before"), (upto + before).alias("upto")).where(F.col("upto") >= n)
+        found = found.agg(F.min(F.struct("b", "before"))).first()[0]
+        if found is None:
+            return df                                       # fewer than n rows
+        cut, before = found
+    last = df.where(draw == cut).orderBy(F.col(key)).limit(n - before)
+    return df.where(draw < cut).unionAll(last)
 
 
 def train_test_split(df: DataFrame, key: str, train_pct: int = 70, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -56,6 +56,11 @@ def test_folds_partition_rows_and_exact_sample(spark):
     f = SM.with_folds(df, "k").groupBy("fold").count().collect()
     assert sum(r["count"] for r in f) == 1000 and {r["fold"] for r in f} == set(range(5))
     assert SM.sample_exact(df, 37, "k").count() == 37
+    by_draw = [r.k for r in df.orderBy(SM.hash_draw("k"), "k").collect()]
+    for n in (0, 1, 2, len(by_draw) - 1, len(by_draw), len(by_draw) + 5):
+        assert sorted(r.k for r in SM.sample_exact(df, n, "k").collect()) == sorted(by_draw[:n])
+    same = df.selectExpr("1 AS k").limit(9)
+    assert SM.sample_exact(same, 4, "k").count() == 4 and SM.sample_exact(same.limit(0), 4, "k").count() == 0
     a = {r.k for r in SM.sample_exact(df.repartition(1), 20, "k").collect()}
     b = {r.k for r in SM.sample_exact(df.repartition(7), 20, "k").collect()}
     assert a == b
