@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.clean import significance_stars
 from quarry.functions.moments import safe_corr
 from quarry.functions.pvalues import chi2_sf, f_sf, t_two_sided
-from quarry.operators.ranks import cumulative_counts, quantiles, to_long
+from quarry.operators.ranks import cumulative_counts, quantiles, to_long, value_count_table
 from quarry.session import materialize
 
 
@@ -49,10 +49,40 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[st
     """T2 — Spearman ρ = Pearson r of mid-ranks taken on each pair's complete rows:
     ``(var_x, var_y, rho, n)``.
 
-    Ranks come from the pair-count table (no row-level sort, no single-partition window);
-    ρ uses rank deviations from the exact mean rank (n + 1) / 2, which keeps it stable for very
-    large n."""
+    A column without nulls has one rank per value, whichever column it is paired with: such columns
+    are ranked once each and all their pairs correlated in one aggregate.  Pairs with a null
+    anywhere go through a table of (x, y) counts of their own.  The nulls are counted when this is
+    called."""
     pairs = list(pairs or combinations(cols, 2))
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    nulls = df.agg(*[F.count_if(F.col(c).cast("double").isNull()).alias(f"c{i}") for i, c in enumerate(used)]).first()
+    full = {c for c, n in zip(used, nulls) if n == 0}
+    once = [p for p in pairs if set(p) <= full]
+    some = [p for p in pairs if not set(p) <= full]
+    if not once:
+        return _spearman_by_pairs(df, some)
+    whole = _spearman_by_columns(df, once)
+    return whole.unionByName(_spearman_by_pairs(df, some)) if some else whole
+
+
+def _spearman_by_columns(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """ρ of pairs of columns without nulls: a join a column brings its ranks to the rows, whose
+    number of shuffles is that of the columns, not of the pairs."""
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    ranks = cumulative_counts(value_count_table(df, used))
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(used)])
+    for i, c in enumerate(used):
+        own = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        rows = rows.join(own, f"v{i}").drop(f"v{i}")
+    at = {c: f"r{i}" for i, c in enumerate(used)}
+    row = rows.agg(F.count("*").alias("n"), *[safe_corr(F.col(at[a]), F.col(at[b])).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"p{k}").alias("rho"),
+                                                  F.col("n")) for k, (a, b) in enumerate(pairs)]))).where("n > 0")
+
+
+def _spearman_by_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """ρ of any pairs.  Ranks come from the pair-count table (no row-level sort, no single-partition
+    window); rank deviations from the exact mean rank (n + 1) / 2 keep it stable for very large n."""
     pc = materialize(_pair_counts(df, pairs))          # feeds x-ranks, y-ranks and the join
     vx = pc.groupBy("var_x", "var_y", F.col("x").alias("value")).agg(F.sum("cnt").alias("cnt")) \
            .withColumn("variable", F.lit("x"))
