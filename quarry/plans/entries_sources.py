@@ -51,42 +51,46 @@ def q_source_replace_roundtrip(spark, d):
     return IO.shape(spark.read.parquet(path))
 
 
-@register("source_declared_table", "SELECT n_nationkey, n_name FROM nation")
+@register("source_declared_table", "SELECT l_returnflag, COUNT(*) AS n, " + R("SUM(l_quantity)", "quantity") + " FROM lineitem GROUP BY 1")
 def q_source_declared_table(spark, d):
     """S2, S5 — a table created with a declared schema, filled, and read by name."""
-    path, name = _place(spark, "nation")
-    IO.create_table(spark, name, T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType())]), path)
-    table(spark, d, "nation", ["n_nationkey", "n_name"]).select(F.col("n_nationkey").cast("long"), "n_name").write.insertInto(name)
+    path, name = _place(spark, "lineitem")
+    IO.create_table(spark, name, T.StructType([T.StructField("l_returnflag", T.StringType()), T.StructField("l_quantity", T.DoubleType())]), path)
+    table(spark, d, "lineitem", ["l_returnflag", "l_quantity"]).select("l_returnflag", F.col("l_quantity").cast("double")).write.insertInto(name)
     spark.catalog.refreshTable(name)
-    return IO.read_table(spark, name)
+    return IO.read_table(spark, name).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @register("source_fallback_chain", "SELECT 'file' AS source, COUNT(*) AS n FROM orders UNION ALL "
-          "SELECT 'csv' AS source, COUNT(*) AS n FROM region UNION ALL SELECT 'table' AS source, COUNT(*) AS n FROM nation")
+          "SELECT 'csv' AS source, COUNT(*) AS n FROM customer UNION ALL SELECT 'table' AS source, COUNT(*) AS n FROM lineitem")
 def q_source_fallback_chain(spark, d):
     """S3 — the first existing path; a folder of CSV files; the stored table before any path."""
-    path, _ = _place(spark, "region_csv")
-    table(spark, d, "region").write.csv(path, header=True)
-    stored, name = _place(spark, "nation")
-    IO.create_table(spark, name, T.StructType([T.StructField("n_name", T.StringType())]), stored)
-    table(spark, d, "nation", ["n_name"]).write.insertInto(name)
+    path, _ = _place(spark, "customer_csv")
+    table(spark, d, "customer", ["c_custkey", "c_name"]).write.csv(path, header=True)
+    stored, name = _place(spark, "lineitem")
+    IO.create_table(spark, name, T.StructType([T.StructField("l_orderkey", T.LongType())]), stored)
+    table(spark, d, "lineitem", ["l_orderkey"]).select(F.col("l_orderkey").cast("long")).write.insertInto(name)
     spark.catalog.refreshTable(name)
     gone = path + "_gone"
     found = [("file", IO.load_with_fallback(spark, None, [gone, f"{d}/orders.parquet"])),
-             ("csv", IO.load_with_fallback(spark, "no_such_table", [gone, path], "r_regionkey long, r_name string")),
+             ("csv", IO.load_with_fallback(spark, "no_such_table", [gone, path], "c_custkey long, c_name string")),
              ("table", IO.load_with_fallback(spark, name, [path]))]
     return RL.stack_labelled([(k, df.agg(F.count("*").alias("n"))) for k, df in found], "source")
 
 
 @register("source_catalog_listing", "SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
-          "WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS data_type, 1 AS listed FROM (DESCRIBE SELECT * FROM nation)")
+          "WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS data_type, 1 AS listed, (SELECT COUNT(*) FROM customer) AS rows "
+          "FROM (DESCRIBE SELECT c_custkey, c_name, c_acctbal FROM customer)")
 def q_source_catalog_listing(spark, d):
-    """S7 — the columns of a stored table, and that the table is listed once."""
-    path, name = _place(spark, "nation")
-    IO.create_table(spark, name, table(spark, d, "nation").schema, path)
+    """S7 — the columns of a stored and filled table, its rows, and that the table is listed once."""
+    path, name = _place(spark, "customer")
+    c = table(spark, d, "customer", ["c_custkey", "c_name", "c_acctbal"])
+    IO.create_table(spark, name, c.schema, path)
+    c.write.insertInto(name)
+    spark.catalog.refreshTable(name)
     listed = IO.list_tables(spark).where(F.col("name") == name).agg(F.count("*").alias("listed"))
     columns = IO.list_columns(spark, name).select("name", "data_type")
-    return columns.withColumn("listed", listed.scalar())
+    return columns.withColumns({"listed": listed.scalar(), "rows": IO.read_table(spark, name).agg(F.count("*").alias("rows")).scalar()})
 
 
 @register("source_head_tail", "(SELECT 'head' AS part, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5) UNION ALL "
