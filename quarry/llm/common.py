@@ -156,3 +156,11 @@ def runs(batches, keys: int):
             held.append(row)
     if held:
         yield held
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

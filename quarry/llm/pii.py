@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import spare
+
 ROUNDS = 8
 #: Only for the catalogue query and tests: a user passes a secret of their own.
 DEMO_KEY = b"catalogue demonstration key"
@@ -34,7 +36,7 @@ _FORMS = {
     "card": r"\d{13,19} | \d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7} | \d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5}",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4} | \d{2,4}[ .-]\d{2,4})(?:[ .-]\d{2,4}){1,3} | \+\d{8,15}",
 }
-_AFTER = re.compile(r"(?![\w/-]|[.,]\d)", re.ASCII)
+_AFTER = re.compile(r"(?!(?!T\d\d:\d\d)[\w/-]|[.,]\d)", re.ASCII)
 _NUMBER = re.compile(rf"(?<![\w.,+/-])(?:{'|'.join(f'(?P<{k}>{f})' for k, f in _FORMS.items())}){_AFTER.pattern}", re.ASCII | re.VERBOSE)
 #: Each form alone, for a start where the first reading fails its check.
 _ALONE = {k: re.compile(f, re.ASCII | re.VERBOSE) for k, f in _FORMS.items()} | {"iban": re.compile(_IBAN.pattern[len(r"(?<!\w)"):], re.ASCII)}
@@ -44,23 +46,36 @@ _LONGEST = 48
 _HAS_DIGIT = re.compile(r"\d", re.ASCII)
 
 
-def feistel(value: int, size: int, key: bytes, kind: str) -> int:
-    """A keyed permutation of range(size): a balanced Feistel network over the next even number of
-    bits, walked until it lands in the range."""
+def feistel(value: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a balanced Feistel network over the next
+    even number of bits, walked until it lands in the range."""
     if size < 2:
         return value
     half = ((size - 1).bit_length() + 1) // 2
     mask = (1 << half) - 1
+
+    def noise(r: int, x: int) -> int:
+        word = f"{kind}|{size}|{r}|{x}".encode()
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8 + half // 8, key=key).digest(), "big") & mask
+
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            word = f"{kind}|{size}|{r}|{right}".encode()
-            left, right = right, left ^ (int.from_bytes(hashlib.blake2b(word, digest_size=8 + half // 8, key=key).digest(), "big") & mask)
+            if back:
+                left, right = right ^ noise(ROUNDS - 1 - r, left), left
+            else:
+                left, right = right, left ^ noise(r, right)
         value = left << half | right
         if value < size:
             return value
 
 
+def moved(value: int, size: int, key: bytes, kind: str) -> int:
+    """A keyed permutation of range(size) that leaves no value in place: the next one on the one
+    cycle on which the Feistel permutation orders them."""
+    return feistel((feistel(value, size, key, kind) + 1) % size, size, key, kind, back=True)
+
+
 def luhn_digit(payload: str) -> str:
     """The check digit that makes payload + digit pass the Luhn test."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(payload)))
@@ -82,7 +97,7 @@ def _card(text: str, key: bytes) -> str | None:
     if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
     n = len(d) - 1
-    new = f"{feistel(int(d[:-1]), 10 ** n, key, 'card'):0{n}d}"
+    new = f"{moved(int(d[:-1]), 10 ** n, key, 'card'):0{n}d}"
     return _refill(text, new + luhn_digit(new), "0123456789")
 
 
@@ -90,7 +105,7 @@ def _ip(text: str, key: bytes) -> str | None:
     parts = [int(x) for x in text.split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
         return None
-    new = feistel(int.from_bytes(bytes(parts), "big"), 2 ** 32, key, "ip")
+    new = moved(int.from_bytes(bytes(parts), "big"), 2 ** 32, key, "ip")
     return ".".join(str(x) for x in new.to_bytes(4, "big"))
 
 
@@ -99,7 +114,7 @@ def _ssn(text: str, key: bytes) -> str | None:
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     area -= 1 + (area > 666)
-    new = feistel((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn")
+    new = moved((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn")
     rest, serial = divmod(new, 9999)
     area, group = divmod(rest, 99)
     area += 1 + (area >= 665)
@@ -120,18 +135,18 @@ def _phone(text: str, key: bytes) -> str | None:
             if len(d) == 10 and "(" not in text:
                 return None
             new = national
-            while _unassigned(new := f"{feistel(int(new), 10 ** 10, key, 'phone-1-other'):010d}") is False:
+            while _unassigned(new := f"{moved(int(new), 10 ** 10, key, 'phone-1-other'):010d}") is False:
                 pass
             return _refill(text, d[:-10] + new, "0123456789")
         area, office, line = int(national[:3]) - 200, int(national[3:6]) - 200, int(national[6:])
-        new = feistel((area * 800 + office) * 10000 + line, 800 * 800 * 10000, key, "phone-1")
+        new = moved((area * 800 + office) * 10000 + line, 800 * 800 * 10000, key, "phone-1")
         rest, line = divmod(new, 10000)
         area, office = divmod(rest, 800)
         return _refill(text, f"{d[:-10]}{area + 200:03d}{office + 200:03d}{line:04d}", "0123456789")
     if not text.startswith("+") or not 8 <= len(d) <= 15:
         return None
     n = len(d) - 2
-    return _refill(text, d[:2] + f"{feistel(int(d[2:]), 10 ** n, key, 'phone'):0{n}d}", "0123456789")
+    return _refill(text, d[:2] + f"{moved(int(d[2:]), 10 ** n, key, 'phone'):0{n}d}", "0123456789")
 
 
 def _date(year: int, month: int, day: int, key: bytes) -> dt.date | None:
@@ -139,7 +154,7 @@ def _date(year: int, month: int, day: int, key: bytes) -> dt.date | None:
         n = dt.date(year, month, day).toordinal() - _FIRST_DAY
     except ValueError:
         return None
-    return dt.date.fromordinal(feistel(n, _DAYS, key, "date") + _FIRST_DAY) if 0 <= n < _DAYS else None
+    return dt.date.fromordinal(moved(n, _DAYS, key, "date") + _FIRST_DAY) if 0 <= n < _DAYS else None
 
 
 def _iso(text: str, key: bytes) -> str | None:
@@ -165,7 +180,7 @@ def _mixed(text: str, key: bytes, kind: str) -> str:
         base = 10 if c.isdigit() else 26 if c.isalpha() else 1
         value = value * base + (int(c) if base == 10 else ord(c.lower()) - 97 if base == 26 else 0)
         size *= base
-    value = feistel(value, size, key, f"{kind}|{''.join('9' if c.isdigit() else 'a' if c.isalpha() else c for c in text)}")
+    value = moved(value, size, key, f"{kind}|{''.join('9' if c.isdigit() else 'a' if c.isalpha() else c for c in text)}")
     out = []
     for c in reversed(text):
         base = 10 if c.isdigit() else 26 if c.isalpha() else 1
@@ -263,9 +278,10 @@ def pseudonymise_text(docs: DataFrame, text: str = "text", key: bytes = DEMO_KEY
     Read as personal and valid: card numbers (Luhn), US social security numbers and phones, other
     phones with a country code (also code 1, or an area in parentheses, before an area or office
     that America does not assign; these map among themselves), IPv4 addresses, IBANs (mod 97), dates from 1900 to 2099 (year
-    first, or day first, or else month first; written back with two-digit day and month) and the
+    first, or day first, or else month first; also before the time of an ISO timestamp, which stays;
+    written back with two-digit day and month) and the
     local part of email addresses.  A pseudonym is valid in the same sense, keeps separators and
-    length (but for the octets of an address), and is the same wherever the value stands with
+    length (but for the octets of an address), never equals its value, and is the same wherever the value stands with
     the same separators or others.  Anything else, such as a number that fails its check, stays; so where
     values could overlap, the valid one that begins first counts.
 
@@ -279,5 +295,6 @@ def pseudonymise_text(docs: DataFrame, text: str = "text", key: bytes = DEMO_KEY
     def replace(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([pseudonymise(t, key) for t in texts], columns=["text", "n"])
 
-    return (docs.withColumn("_q_new", replace(F.col(text)))
-            .withColumns({text: F.col("_q_new.text"), "n_replaced": F.col("_q_new.n")}).drop("_q_new"))
+    new = spare(docs, "_q_new")
+    return (docs.withColumn(new, replace(F.col(text)))
+            .withColumns({text: F.col(f"{new}.text"), "n_replaced": F.col(f"{new}.n")}).drop(new))

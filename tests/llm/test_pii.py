@@ -15,6 +15,23 @@ def test_feistel_is_a_permutation():
     assert [pii.feistel(i, 1000, b"a", "x") for i in range(50)] != [pii.feistel(i, 1000, b"b", "x") for i in range(50)]
 
 
+def test_no_value_stays_in_place():
+    for size in (2, 3, 10, 26, 97, 1000):
+        for kind in ("x", "y", "z"):
+            new = [pii.moved(i, size, KEY, kind) for i in range(size)]
+            assert sorted(new) == list(range(size)) and all(i != x for i, x in enumerate(new))
+            assert [pii.feistel(x, size, KEY, kind, back=True) for x in (pii.feistel(i, size, KEY, kind) for i in range(size))] == list(range(size))
+    for name in "abcdefghijklmnopqrstuvwxyz0123456789":
+        assert pii.pseudonymise(f"{name}@gmail.com", KEY)[0] != f"{name}@gmail.com"
+
+
+def test_timestamps():
+    for rest in ("T10:00:00Z", "T10:00", "T10:00:00.5+02:00"):
+        new, n = pii.pseudonymise(f"at 2024-01-05{rest} x", KEY)
+        assert n == 1 and new == f"at {pii.pseudonymise('2024-01-05', KEY)[0]}{rest} x"
+    assert pii.pseudonymise("2024-01-05Tx", KEY) == ("2024-01-05Tx", 0)
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()]
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
@@ -87,5 +104,7 @@ def test_table(odd_docs, docs):
     assert sorted(str((r.doc_id, r.text)) for r in before) == sorted(str((r.doc_id, r.text)) for r in after)
     assert {r.n_replaced for r in after} == {0} and {r.n for r in after} == {2}
     assert pii.pseudonymise_text(odd_docs.limit(0)).count() == 0
+    kept = pii.pseudonymise_text(docs([(1, "10.20.30.40")]).selectExpr("*", "7 AS _q_new")).first()
+    assert kept["_q_new"] == 7 and kept.n_replaced == 1 and kept.text != "10.20.30.40"
     far = pii.pseudonymise_text(docs([(1, "x " * 50_000 + "10.20.30.40"), (2, "10.20.30.40 and 10.20.30.40")])).collect()
     assert far[0].text.split()[-1] == far[1].text.split()[0] == far[1].text.split()[-1] != "10.20.30.40" and far[1].n_replaced == 2
