@@ -11,7 +11,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage
+from quarry.llm.common import spare, stage
 
 #: Seeds: a 0 is a place whose token is ignored.  Whichever two of 13 tokens differ, one of the
 #: first list fits between them; whichever two of ten, one of the second.
@@ -80,7 +80,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Null or empty texts match nothing.  Short items count by the same share: one of under five
     tokens stands in a document as it is, and one of a single word in every document with it.
-    Repeated rows give one result row, null ids one under null.  Empty tables give an empty
+    Repeated rows give one result row, null ids one under null; of several texts of one item the row is
+    that of the best share, then of the most equal tokens, then of the longest text.  Empty tables give an empty
     result.  Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), tokens(item_text).alias("itok")).distinct()
@@ -112,16 +113,16 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                .select("hit", "hit_item", "item_tokens", "n_window",
                        F.size(F.filter(F.slice("same", F.col("start"), F.col("n_window")), lambda x: x)).alias("n_match")))
     return (windows.groupBy(F.col("hit").alias(id_col), F.col("hit_item").alias(item_col))
-            .agg(F.max_by("n_match", F.col("n_match") / F.col("n_window")).alias("n_match"),
-                 F.max_by("n_window", F.col("n_match") / F.col("n_window")).alias("n_window"),
-                 F.max("item_tokens").alias("item_tokens"))
+            .agg(F.max(F.struct((F.col("n_match") / F.col("n_window")).alias("share"), "n_match", "n_window", "item_tokens")).alias("best"))
+            .select(id_col, item_col, "best.n_match", "best.n_window", "best.item_tokens")
             .where(F.col("n_match") >= F.ceil(F.lit(float(share)) * F.col("n_window"))))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that share a passage with an item; same columns.
 
-    Rows with a null id go if any of them does.
+    Rows with a null id go if any of them does.  Other columns may have any name.
     """
-    bad = find_contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_q_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_q_bad")), "left_anti")
+    bad = spare(docs, "_q_bad")
+    gone = find_contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias(bad)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")

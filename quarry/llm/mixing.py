@@ -98,6 +98,7 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, float | dict[str, float]]
 
 
 def with_tokens_and_topic(documents: DataFrame) -> DataFrame:
+    """``documents`` with their word count and stand-in topic; columns ``tokens`` and ``topic`` are replaced."""
     counted = documents.withColumn("tokens", word_count("text").cast("long"))
     return counted.withColumn("topic", text_topic("text", F.col("tokens")))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, labelled_sample, small_batches, text_batches
+from quarry.llm.common import crc_mod, labelled_sample, small_batches, spare, text_batches
 
 FORM_TERMS = 1 << 12
 WORD_TERMS = 1 << 12
@@ -200,9 +200,10 @@ def scorer(docs: DataFrame, model: LatentNeighbours):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """Pipeline form: ``docs`` without the rows predicted 0; same columns."""
-    scored = docs.withColumn("_q_score", scorer(docs, fit(docs, labels, **options))(F.col("text")))
-    return scored.where(F.col("_q_score") >= threshold).drop("_q_score")
+    """Pipeline form: ``docs`` without the rows predicted 0; same columns, of whatever names."""
+    name = spare(docs, "_q_score")
+    scored = docs.withColumn(name, scorer(docs, fit(docs, labels, **options))(F.col("text")))
+    return scored.where(F.col(name) >= threshold).drop(name)
 
 
 def query(documents: DataFrame, labels: DataFrame) -> DataFrame:

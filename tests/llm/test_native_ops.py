@@ -178,3 +178,12 @@ def test_mixing_odd_rows(odd_docs):
     assert got.columns.count("p") == 1 and {"t", "w", "g"} <= set(got.columns)
     assert got.where("tokens > 0").count() == 6
     assert mixing.mix_to_targets(df.limit(0)).count() == 0
+
+
+def test_clashing_names_and_ties(spark, docs):
+    rows = docs([(1, "a b c d e f g h"), (2, "nothing of it")]).selectExpr("*", "5 AS _q_bad", "6 AS _q_score")
+    items = spark.createDataFrame([(7, "a b c d e f g h"), (7, "a b c d e f"), (7, "a b c d e f")], "item_id int, text string")
+    kept = decontam.decontaminate(rows, items)
+    assert kept.columns == rows.columns and [(r.doc_id, r["_q_bad"]) for r in kept.collect()] == [(2, 5)]
+    found = decontam.find_contaminated(rows, items).collect()
+    assert [(r.doc_id, r.item_id, r.n_match, r.n_window, r.item_tokens) for r in found] == [(1, 7, 8, 8, 8)]
