@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.clean import significance_stars
 from quarry.functions.moments import safe_corr
 from quarry.functions.pvalues import chi2_sf, f_sf, t_two_sided
-from quarry.operators.ranks import cumulative_counts, quantiles, to_long, value_count_table
+from quarry.operators.ranks import cumulative_counts, quantiles, to_long
 from quarry.session import materialize
 
 
@@ -35,71 +35,51 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(var_x, var_y, x, y, cnt)`` over pairwise-complete rows; partial aggregation collapses
-    repeated (x, y) before the shuffle."""
-    structs = [F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                        F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-               for a, b in pairs]
-    long = df.select(F.inline(F.array(*structs))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return long.groupBy("var_x", "var_y", "x", "y").agg(F.count("*").alias("cnt"))
+#: Most distinct values of a column whose ranks are broadcast to the rows.
+BROADCAST_RANKS = 100_000
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """T2 — Spearman ρ = Pearson r of mid-ranks taken on each pair's complete rows:
     ``(var_x, var_y, rho, n)``.
 
-    A column without nulls has one rank per value, whichever column it is paired with: such columns
-    are ranked once each and all their pairs correlated in one aggregate.  Pairs with a null
-    anywhere go through a table of (x, y) counts of their own.  The nulls are counted when this is
-    called."""
+    A column's rank in a pair depends on the other column only by its nulls, so values are counted
+    once by the nulls that the row has, and ranked once per column and set of rows.  Ranks of
+    columns with few values are broadcast to the rows, and no row is sent by such a value; a column
+    of many values costs one join.  Then one aggregate correlates all pairs.  ``df`` is scanned
+    three times, twice when this is called: the caller writes it first where that is dear."""
     pairs = list(pairs or combinations(cols, 2))
     used = list(dict.fromkeys(c for p in pairs for c in p))
-    nulls = df.agg(*[F.count_if(F.col(c).cast("double").isNull()).alias(f"c{i}") for i, c in enumerate(used)]).first()
-    full = {c for c, n in zip(used, nulls) if n == 0}
-    once = [p for p in pairs if set(p) <= full]
-    some = [p for p in pairs if not set(p) <= full]
-    if not once:
-        return _spearman_by_pairs(df, some)
-    whole = _spearman_by_columns(df, once)
-    return whole.unionByName(_spearman_by_pairs(df, some)) if some else whole
-
-
-def _spearman_by_columns(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """ρ of pairs of columns without nulls: a join a column brings its ranks to the rows, whose
-    number of shuffles is that of the columns, not of the pairs."""
-    used = list(dict.fromkeys(c for p in pairs for c in p))
-    ranks = cumulative_counts(value_count_table(df, used))
-    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(used)])
+    x = {c: F.col(c).cast("double") for c in used}
+    nulls = df.agg(*[F.count_if(x[c].isNull()).alias(f"c{i}") for i, c in enumerate(used)]).first()
+    partial = [c for c, n in zip(used, nulls) if n]
+    # the rows of a pair, seen from one column: all it has, or those that a column with nulls has too
+    among = {c: sorted({o if o in partial else "" for p in pairs for o, own in (p, p[::-1]) if own == c}) for c in used}
+    has = {o: 1 << i for i, o in enumerate(partial)}
+    mask = sum((F.when(x[o].isNotNull(), bit).otherwise(0) for o, bit in has.items()), F.lit(0).cast("long"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x[c].alias("value"), mask.alias("mask")) for c in used]))).where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value", "mask").agg(F.count("*").alias("cnt"))
+    sets = F.inline(F.array_compact(F.array(*[
+        F.when((F.col("column") == c) & (F.col("mask").bitwiseAND(has.get(o, 0)) == has.get(o, 0)),
+               F.struct(F.lit(f"{i}_{k}").alias("variable"), F.col("value"), F.col("cnt")))
+        for i, c in enumerate(used) for k, o in enumerate(among[c])])))
+    ranks = materialize(cumulative_counts(counts.select(sets).groupBy("variable", "value").agg(F.sum("cnt").alias("cnt"))))
+    distinct = {r["variable"]: r["n"] for r in ranks.groupBy("variable").agg(F.count("*").alias("n")).collect()}     # a row a column and set
+    small = materialize(ranks.where(F.col("variable").isin([v for v, n in distinct.items() if n <= BROADCAST_RANKS])))
+    rows = df.select(*[x[c].alias(f"v{i}") for i, c in enumerate(used)])
     for i, c in enumerate(used):
-        own = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        rows = rows.join(own, f"v{i}").drop(f"v{i}")
-    at = {c: f"r{i}" for i, c in enumerate(used)}
-    row = rows.agg(F.count("*").alias("n"), *[safe_corr(F.col(at[a]), F.col(at[b])).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+        names = [f"{i}_{k}" for k in range(len(among[c]))]
+        few = max(distinct.get(name, 0) for name in names) <= BROADCAST_RANKS
+        own = ((small if few else ranks).where(F.col("variable").isin(names)).groupBy(F.col("value").alias(f"v{i}"))
+               .agg(*[F.max(F.when(F.col("variable") == name, F.col("rank"))).alias(f"r{name}") for name in names]))
+        rows = rows.join(F.broadcast(own) if few else own, f"v{i}", "left" if c in partial else "inner").drop(f"v{i}")
+    at = {(c, o): F.col(f"r{i}_{k}") for i, c in enumerate(used) for k, o in enumerate(among[c])}
+    both = [(at[a, b if b in partial else ""], at[b, a if a in partial else ""]) for a, b in pairs]
+    there = [p[0].isNotNull() & p[1].isNotNull() for p in both]
+    row = rows.agg(*[F.count_if(ok).alias(f"n{k}") for k, ok in enumerate(there)],
+                   *[safe_corr(F.when(ok, a), F.when(ok, b)).alias(f"p{k}") for k, ((a, b), ok) in enumerate(zip(both, there))])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"p{k}").alias("rho"),
-                                                  F.col("n")) for k, (a, b) in enumerate(pairs)]))).where("n > 0")
-
-
-def _spearman_by_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """ρ of any pairs.  Ranks come from the pair-count table (no row-level sort, no single-partition
-    window); rank deviations from the exact mean rank (n + 1) / 2 keep it stable for very large n."""
-    pc = materialize(_pair_counts(df, pairs))          # feeds x-ranks, y-ranks and the join
-    vx = pc.groupBy("var_x", "var_y", F.col("x").alias("value")).agg(F.sum("cnt").alias("cnt")) \
-           .withColumn("variable", F.lit("x"))
-    vy = pc.groupBy("var_x", "var_y", F.col("y").alias("value")).agg(F.sum("cnt").alias("cnt")) \
-           .withColumn("variable", F.lit("y"))
-    ranks = cumulative_counts(vx.unionByName(vy), by=["var_x", "var_y"])
-    rx = ranks.where(F.col("variable") == "x").select("var_x", "var_y", F.col("value").alias("x"),
-                                                       F.col("rank").alias("rx"), "n")
-    ry = ranks.where(F.col("variable") == "y").select("var_x", "var_y", F.col("value").alias("y"),
-                                                       F.col("rank").alias("ry"))
-    j = pc.join(rx, ["var_x", "var_y", "x"]).join(ry, ["var_x", "var_y", "y"])
-    m = (F.col("n") + 1) / F.lit(2.0)
-    dx, dy, w = F.col("rx") - m, F.col("ry") - m, F.col("cnt")
-    g = j.groupBy("var_x", "var_y").agg(F.sum(w * dx * dy).alias("sxy"), F.sum(w * dx * dx).alias("sxx"),
-                                        F.sum(w * dy * dy).alias("syy"), F.first("n").alias("n"))
-    den = F.sqrt(F.col("sxx") * F.col("syy"))
-    return g.select("var_x", "var_y", F.when(den > 0, F.col("sxy") / den).alias("rho"), "n")
+                                                  F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(pairs)]))).where("n > 0")
 
 
 def with_target(matrix: DataFrame, target: str, stat: str, k: int | None = None, by_abs: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from quarry.operators import association as A
 from quarry.operators.information import neighbour_information
 from quarry.plans.catalog import R, register
 from quarry.plans.entries_profile import unpivot_sql
+from quarry.session import cut_lineage
 from quarry.sources import views as V
 
 S, L = ("v_survey",), ("v_listings",)
@@ -85,7 +86,7 @@ def q_survey_pearson_matrix(spark, d):
 
 @register("listings_spearman_matrix", _spearman_sql("v_listings", list(combinations(CORR_LISTINGS, 2))), L)
 def q_listings_spearman_matrix(spark, d):
-    return A.spearman_matrix(V.listings(spark, d), CORR_LISTINGS)
+    return A.spearman_matrix(cut_lineage(V.listings(spark, d).select(*CORR_LISTINGS)), CORR_LISTINGS)
 
 
 @register("survey_spearman_matrix", _spearman_sql("v_survey", list(combinations(CORR_SURVEY, 2))), S)
@@ -118,7 +119,7 @@ def _price_tests_sql():
 @register("listings_price_correlation_tests", _price_tests_sql(), L)
 def q_listings_price_correlation_tests(spark, d):
     """T4–T6, P16, X1 — Pearson and Spearman with p-values and stars."""
-    return A.correlation_tests(V.listings(spark, d), "price", CORR_LISTINGS[1:])
+    return A.correlation_tests(cut_lineage(V.listings(spark, d).select(*CORR_LISTINGS)), "price", CORR_LISTINGS[1:])
 
 
 def _chi_sql(view, cols, target, with_p=False):
