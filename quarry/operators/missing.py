@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.ranks import quantiles
+from quarry.session import materialize
 
 _BUCKET_SHIFT = 32          # 52-bit hash → 2^20 buckets
 
@@ -28,13 +29,15 @@ def null_hash(variable: str, key: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("bigint")
 
 
-def injection_cutoffs(df: DataFrame, cols: Sequence[str], key: str, rate: float, seed: int = 42) -> DataFrame:
-    """``(variable, k, cut_h, cut_key)`` — the k-th smallest ``(h, key)`` per variable.
+def injection_cutoffs(df: DataFrame, cols: Sequence[str], key: str, rate: float, seed: int = 42,
+                     hashes: dict[str, Column] | None = None) -> DataFrame:
+    """``(variable, k, cut_h, cut_key)`` — the k-th smallest ``(h, key)`` per variable; ``hashes``
+    are the columns that hold ``null_hash`` of each, if the table has them.
 
     Two scans of the key: counts per bucket, whose sum is also the number of rows, then the one
     bucket of each variable that holds the cut.  One row per variable passes through the driver.
     """
-    hashes = {c: null_hash(c, key, seed) for c in cols}
+    hashes = hashes or {c: null_hash(c, key, seed) for c in cols}
     bucket = lambda c: F.shiftrightunsigned(hashes[c], _BUCKET_SHIFT)
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), bucket(c).alias("b")) for c in cols])))
     w = Window.partitionBy("variable")
@@ -57,15 +60,19 @@ def injection_cutoffs(df: DataFrame, cols: Sequence[str], key: str, rate: float,
 
 def inject_nulls(df: DataFrame, cols: Sequence[str], key: str, rate: float = 0.05, seed: int = 42) -> DataFrame:
     """M1 — null exactly ``floor(N · rate)`` values of each column (independently per column,
-    deterministic in ``seed`` and ``key``); rows already null stay null.  The cut-offs, one row a
-    column, are found when this is called."""
-    cuts = {r["variable"]: r for r in injection_cutoffs(df, cols, key, rate, seed).collect()}
+    deterministic in ``seed`` and ``key``); rows already null stay null.  The table is written once
+    with its hashes, so that whatever ``df`` derives and the hashes are computed once: pass only
+    the columns that are wanted.  The cut-offs, one row a column, are found when this is called."""
+    hashes = {c: F.col(f"_hash_{i}") for i, c in enumerate(cols)}
+    names = df.columns
+    df = materialize(df.withColumns({f"_hash_{i}": null_hash(c, key, seed) for i, c in enumerate(cols)}))
+    cuts = {r["variable"]: r for r in injection_cutoffs(df, cols, key, rate, seed, hashes).collect()}
     out = {}
     for c, cut in cuts.items():
-        mine = F.struct(null_hash(c, key, seed).alias("h"), F.col(key).alias("key"))
+        mine = F.struct(hashes[c].alias("h"), F.col(key).alias("key"))
         at = F.struct(F.lit(cut["cut_h"]).alias("h"), F.lit(cut["cut_key"]).cast(df.schema[key].dataType).alias("key"))
         out[c] = F.when(F.coalesce(mine <= at, F.lit(False)), F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c))
-    return df.withColumns(out) if out else df
+    return df.withColumns(out).select(*names)
 
 
 def _modes(df: DataFrame, cols: Sequence[str]) -> dict:

@@ -8,7 +8,6 @@ from quarry.operators import knn as KN
 from quarry.operators import missing as MS
 from quarry.operators import profile as P
 from quarry.plans.catalog import R, register
-from quarry.session import cut_lineage
 from quarry.sources import views as V
 
 L, DOC = ("v_listings",), ("v_docs",)
@@ -33,7 +32,7 @@ _INJ = ("inj AS (SELECT id, " + ", ".join(
               for c in INJECT_COLS), L)
 def q_listings_injected_nulls(spark, d):
     """M1 — which rows were nulled (count and id checksum per variable)."""
-    inj = MS.inject_nulls(V.listings(spark, d), INJECT_COLS, "id", RATE)
+    inj = MS.inject_nulls(V.listings(spark, d).select("id", *INJECT_COLS), INJECT_COLS, "id", RATE)
     # one pass: per column, null count and id checksum, then stacked to rows
     row = inj.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in INJECT_COLS],
                   *[F.sum(F.when(F.col(c).isNull(), F.col("id"))).alias(f"s_{c}") for c in INJECT_COLS])
@@ -48,7 +47,7 @@ def q_listings_injected_nulls(spark, d):
               for c in INJECT_COLS), L)
 def q_listings_null_rate_after_injection(spark, d):
     """M8 — null rate per variable after injection."""
-    inj = MS.inject_nulls(V.listings(spark, d), INJECT_COLS, "id", RATE)
+    inj = MS.inject_nulls(V.listings(spark, d).select("id", *INJECT_COLS), INJECT_COLS, "id", RATE)
     return P.null_profile(inj, INJECT_COLS, only_missing=False)
 
 
@@ -74,9 +73,8 @@ _IMPUTED = ", ".join(
 def q_listings_imputation_comparison(spark, d):
     """M2/M3/M6/M7 — mean and median imputation of injected nulls, before/after statistics."""
     v = V.listings(spark, d).select("id", *INJECT_COLS)
-    # four consumers of the injected table: materialise it once (reliable checkpoint in the
-    # cluster's shared checkpoint dir) instead of re-deriving view + cut-offs in every branch
-    inj = cut_lineage(MS.inject_nulls(v, INJECT_COLS, "id", RATE))
+    # the injected table has four consumers: inject_nulls writes it once, its cut-offs are constants
+    inj = MS.inject_nulls(v, INJECT_COLS, "id", RATE)
     frames = [("original", v), ("with_nulls", inj), ("mean", MS.impute(inj, INJECT_COLS, "mean")),
               ("median", MS.impute(inj, INJECT_COLS, "median"))]
     return MS.compare_imputations(frames, INJECT_COLS).select("method", "variable", "mean", "median", "std", "nulls")
@@ -114,7 +112,7 @@ def q_listings_imputation_histograms(spark, d):
     from quarry.operators.distribution import histogram
     from quarry.operators.relational import stack_labelled
     v = V.listings(spark, d).select("id", *INJECT_COLS)
-    inj = cut_lineage(MS.inject_nulls(v, INJECT_COLS, "id", RATE))
+    inj = MS.inject_nulls(v, INJECT_COLS, "id", RATE)
     frames = [("with_nulls", inj.select(F.col("availability_365").cast("double").alias("availability_365"))),
               ("mean", MS.impute(inj, INJECT_COLS, "mean").select("availability_365")),
               ("median", MS.impute(inj, INJECT_COLS, "median").select("availability_365"))]
@@ -137,7 +135,7 @@ def _knn_sql(k: int = 5) -> str:
 @register("listings_knn_imputation", _knn_sql(), L)
 def q_listings_knn_imputation(spark, d):
     """M5 — every null of the injected listings with the mean of its five nearest rows."""
-    inj = cut_lineage(MS.inject_nulls(V.listings(spark, d).select("id", *INJECT_COLS), INJECT_COLS, "id", RATE))
+    inj = MS.inject_nulls(V.listings(spark, d).select("id", *INJECT_COLS), INJECT_COLS, "id", RATE)
     filled = KN.knn_impute(inj, INJECT_COLS, "id").select("id", *[F.col(c).alias(f"f_{c}") for c in INJECT_COLS])
     both = inj.join(filled, "id")
     return both.select("id", F.inline(F.array_compact(F.array(*[
