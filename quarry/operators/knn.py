@@ -53,10 +53,13 @@ def _to_cells(pivots: dict[int, np.ndarray], p: int):
             pts, gid = _points(f["point"], p), f["gid"].to_numpy()
             for g in np.unique(gid):
                 at = np.flatnonzero(gid == g)
-                for part in np.array_split(at, -(-len(at) // 1024)):
+                head = np.r_[True, (np.diff(pts[at], axis=0) != 0).any(1)]              # donors of a point lie together
+                of, heads = np.cumsum(head) - 1, at[head]
+                for part in np.array_split(heads, -(-len(heads) // 1024)):
                     d = _squares(pts[part], pivots[g])
                     cell[part] = d.argmin(1)
                     away[part] = np.sqrt(d.min(1))
+                cell[at], away[at] = cell[heads[of]], away[heads[of]]
             yield f.assign(cell=cell, away=away)
     return run
 
@@ -147,13 +150,16 @@ def knn_fills(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, features
         return spark.createDataFrame([], "key long, variable string, value double")
     use = spark.createDataFrame([(g, j, s, p / s.bit_count(), q, 0) for g, j, _, s, qs in groups for q in qs] + [(g, j, s, p / s.bit_count(), r, 1) for g, j, r, s, _ in groups],
                                 "gid int, target int, common int, scale double, pattern int, kind int")
+    # of donors that agree in all features only the k smallest keys can count, in any group
+    alike = Window.partitionBy("pattern", *[F.element_at("x", i + 1) for i in range(p)]).orderBy("key")
+    few = x.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
     masked = F.transform("x", lambda v, i: F.when(F.getbit("common", i) == 1, v).otherwise(0.0))
-    rows = x.join(F.broadcast(use), "pattern").withColumn("point", masked)                 # one small row per group and pattern
-    by_point = Window.partitionBy("gid", "point").orderBy("key")
-    donors = (rows.where("kind = 0").select("gid", "point", "key", F.element_at("x", F.col("target") + 1).alias("value"))
+    wanting = x.join(F.broadcast(use.where("kind = 1")), "pattern").withColumn("point", masked)     # one small row per group and pattern
+    giving = few.join(F.broadcast(use.where("kind = 0")), "pattern").withColumn("point", masked)
+    by_point = Window.partitionBy("gid", *[F.element_at("point", i + 1) for i in range(p)]).orderBy("key")
+    donors = (giving.select("gid", "point", "key", F.element_at("x", F.col("target") + 1).alias("value"))
               .withColumn("_n", F.row_number().over(by_point)).where(F.col("_n") <= k))
     donors = cut_lineage(donors)
-    wanting = rows.where("kind = 1")
     sizes = {r["gid"]: r["n"] for r in donors.where("_n = 1").groupBy("gid").agg(F.count("*").alias("n")).collect()}
     most = F.element_at(F.create_map(*[F.lit(v) for g, n in sizes.items() for v in (g, min(MAX_PIVOTS, math.isqrt(n) + 1))]), F.col("gid"))
     rank = F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("point"), "key"))
