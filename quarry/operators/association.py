@@ -57,10 +57,10 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[st
     among = {c: sorted({o if o in partial else "" for p in pairs for o, own in (p, p[::-1]) if own == c}) for c in used}
     has = {o: 1 << i for i, o in enumerate(partial)}
     mask = sum((F.when(x[o].isNotNull(), bit).otherwise(0) for o, bit in has.items()), F.lit(0).cast("long"))
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x[c].alias("value"), mask.alias("mask")) for c in used]))).where(F.col("value").isNotNull())
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), x[c].alias("value"), mask.alias("mask")) for i, c in enumerate(used)]))).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value", "mask").agg(F.count("*").alias("cnt"))
     sets = F.inline(F.array_compact(F.array(*[
-        F.when((F.col("column") == c) & (F.col("mask").bitwiseAND(has.get(o, 0)) == has.get(o, 0)),
+        F.when((F.col("column") == i) & (F.col("mask").bitwiseAND(has.get(o, 0)) == has.get(o, 0)),
                F.struct(F.lit(f"{i}_{k}").alias("variable"), F.col("value"), F.col("cnt")))
         for i, c in enumerate(used) for k, o in enumerate(among[c])])))
     ranks = materialize(cumulative_counts(counts.select(sets).groupBy("variable", "value").agg(F.sum("cnt").alias("cnt"))))
